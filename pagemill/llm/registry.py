@@ -9,6 +9,7 @@ MODULES = {
     "op1_kmeans_tree": "ann",
     "op5_byte_bpe": "bpe",
     "op6_quality_rules": "quality",
+    "op7_count_vector_rtree": "jaccard",
     "op8_harmonic_packing": "packing",
     "op9_warc_index_merge": "warc",
     "op10_context_tree_weighting": "ctw",
