@@ -7,7 +7,9 @@ import importlib
 #: Query -> module with its query(), and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_kmeans_tree": "ann",
+    "op2_tool_call_linking": "tools",
     "op3_boosted_candidates": "pii",
+    "op4_log_template_tree": "lines",
     "op5_byte_bpe": "bpe",
     "op6_quality_rules": "quality",
     "op7_count_vector_rtree": "jaccard",
