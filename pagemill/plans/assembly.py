@@ -122,7 +122,7 @@ def job_counts(spark, sf):
     return J.status_counts(_jobs(spark, sf)).select("status", "n", F.unix_seconds(F.col("oldest").cast("timestamp")).alias("oldest"))
 
 
-@query("WITH b AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, floor(epoch(last))::BIGINT AS last, epoch((SELECT max(ts) FROM events))::BIGINT - floor(epoch(last))::BIGINT <= 86400 AS alive FROM b")
+@query("WITH b AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, floor(epoch(last))::BIGINT AS last, floor(epoch((SELECT max(ts) FROM events)))::BIGINT - floor(epoch(last))::BIGINT <= 86400 AS alive FROM b")
 def heartbeat_alive(spark, sf):
     events = D.table(spark, sf, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
     last = events.groupBy("user_id").agg(F.max("t").alias("last"))
