@@ -27,8 +27,11 @@ _BLANK = r"[\x20\x09\x0B-\x0D]+"
 
 
 def _masked(line: Column) -> Column:
-    """Tokens with one space between; those with a digit are variable."""
-    plain = F.trim(F.regexp_replace(line, _BLANK, " "))
+    """Tokens with one space between; those with a digit are variable. Patterns are run only on lines that need them."""
+    uneven = F.contains(line, F.lit("  "))
+    for blank in "\t\x0b\x0c\r":
+        uneven = uneven | F.contains(line, F.lit(blank))
+    plain = F.trim(F.when(uneven, F.regexp_replace(line, _BLANK, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])(?=[^ ]*[0-9])[^ ]++", "<*>")).otherwise(plain)
 
 
@@ -38,19 +41,21 @@ def _n_tokens(masked: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text), line, masked, n_tokens, leaf of the lines long enough to be templates."""
-    rows = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "version", "line", _masked(F.col("raw")).alias("masked")).withColumn("n_tokens", _n_tokens(F.col("masked")))
+    # Lines are made inside the generator, whose rows no later step computes again.
+    masked = F.transform(F.split("text", "\n"), _masked)
+    rows = F.transform(masked, lambda m: F.struct(m.alias("masked"), _n_tokens(m).alias("n_tokens")))
+    rows = docs.select("doc_id", "version", F.posexplode(rows).alias("line", "x")).select("doc_id", "version", "line", "x.masked", "x.n_tokens")
     return rows.where(F.col("n_tokens") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH)))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """leaf, masked and template of the lines in leaves that two documents or more share."""
-    shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("leaf")
+def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """leaf, masked and template of the lines in leaves that two documents or more share; places are the lines without their text."""
+    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("leaf")
     counted = stage(lines.join(shared, "leaf", "left_semi").groupBy("leaf", "masked").agg(F.count("*").alias("n")), "lines")
     tokens = counted.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    places = tokens.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
-    fixed = places.select("leaf", "place", F.when(2 * F.col("most.n") > F.col("all"), F.col("most.token")).alias("token"))
+    most = tokens.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
+    fixed = most.select("leaf", "place", F.when(2 * F.col("most.n") > F.col("all"), F.col("most.token")).alias("token"))
     fixed = fixed.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("fixed"))
     own = F.zip_with(F.split("masked", " "), F.col("fixed"), lambda t, f: F.when(t == f, t).otherwise("<*>"))
     agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.col("fixed"), lambda t, f: F.coalesce(t == f, F.lit(False))), lambda x: x))
@@ -61,9 +66,11 @@ def templates(lines: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, version and the numbers (from 0) of the lines to drop; documents that stay whole are left out."""
     lines = _lines(docs)
-    # One row for each different line, by hashes from here on: templates are told apart by leaf and hash.
-    names = templates(lines).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
-    at = lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")).join(names, ["leaf", "own"])
+    # Without the text, by hashes: read twice, while texts are read once for this and once for the templates.
+    places = stage(lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")), "places")
+    # One row for each different line: templates are told apart by leaf and hash.
+    names = templates(lines, places).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
+    at = places.join(names, ["leaf", "own"])
     at = stage(at.select("doc_id", "version", "line", "n_tokens", "leaf", "template"), "occurrences")
     by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"))
     recurring = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("docs") >= MIN_DOCS)
