@@ -50,17 +50,17 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
     """leaf, masked and template of the lines in leaves that two documents or more share; places are the lines without their text."""
-    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("leaf")
-    counted = stage(lines.join(shared, "leaf", "left_semi").groupBy("leaf", "masked").agg(F.count("*").alias("n")), "lines")
-    tokens = counted.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    tokens = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    most = tokens.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
-    fixed = most.select("leaf", "place", F.when(2 * F.col("most.n") > F.col("all"), F.col("most.token")).alias("token"))
-    fixed = fixed.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("fixed"))
-    own = F.zip_with(F.split("masked", " "), F.col("fixed"), lambda t, f: F.when(t == f, t).otherwise("<*>"))
-    agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.col("fixed"), lambda t, f: F.coalesce(t == f, F.lit(False))), lambda x: x))
-    joined = counted.join(fixed, "leaf").withColumn("own", own).withColumn("agree", agree)
-    return joined.select("leaf", "masked", F.when(F.col("agree") >= SIMILAR * F.size("own"), F.array_join("own", " ")).otherwise(F.col("masked")).alias("template"))
+    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("all")).where("a < b").select("leaf", "all")
+    counted = stage(lines.select("leaf", "masked").join(shared, "leaf").groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.max("all").alias("all")), "lines")
+    tokens = counted.select("leaf", "all", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    # All lines of a leaf have as many tokens, so a place is held as often as the leaf has lines.
+    fixed = tokens.groupBy("leaf", "all", "place", "token").agg(F.sum("n").alias("n")).where(2 * F.col("n") > F.col("all"))
+    fixed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
+    # Null where a line's token is not the fixed one.
+    own = F.transform(F.split("masked", " "), lambda t, i: F.when(t == F.element_at("fixed", i), t))
+    joined = counted.join(fixed, "leaf", "left").withColumn("own", own)
+    agree = F.size(F.array_compact("own"))
+    return joined.select("leaf", "masked", F.when(agree >= SIMILAR * F.size("own"), F.array_join("own", " ", "<*>")).otherwise(F.col("masked")).alias("template"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
