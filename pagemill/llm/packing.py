@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,25 +48,50 @@ LOOSE = [T.StructField("_k", T.LongType()), T.StructField("_exact", T.BooleanTyp
 
 
 class Words:
-    """Ids of whole texts; white space is dropped by this tokenizer, so that they are those of its words one after the other."""
+    """Ids of whole texts; white space is dropped by this tokenizer, so that they are those of its words one after the other.
+
+    New words are encoded many in one call, with a mark between them that stands for itself: a character of one id,
+    which none of the words holds. Every part that the tokenizer's pattern cuts ends in an id of its own kind (`</w>`).
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark, self.mark_id = next((c, x[0]) for c in "\u00a6\u00ac\u00b6\u2020|~^" if len(x := self._ids(c)) == 1 and self.last[x[0]])
         self.known: dict[str, bytes] = {"": b""}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, new: list[str]) -> None:
+        alone = [w for w in new if self.mark in w]
+        new = [w for w in new if self.mark not in w]
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
+            ids = np.array(self._ids(f" {self.mark} ".join(part)), "<u4")
+            marks = np.flatnonzero((ids == self.mark_id) & np.r_[True, self.last[ids[:-1]]]) if len(ids) else np.zeros(0, np.int64)
+            if len(marks) != len(part) - 1:
+                alone += part
+                continue
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
+            self.known.update(zip(part, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+        for w in alone:
+            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in {w for s in split for w in s} if w not in self.known]
+        every = set().union(*split)
+        new = [w for w in every if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
             self.known = {"": b""}
-            new = [w for w in {w for s in split for w in s} if w]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+            new = [w for w in every if w]
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
