@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ PIECE = [
 LOOSE = [T.StructField("_k", T.LongType()), T.StructField("_exact", T.BooleanType()), T.StructField("_worker", T.LongType()), T.StructField("_slot", T.LongType()), T.StructField("_ids", T.BinaryType())]
 
 
+#: Characters that neither normal forms nor white space of other kinds touch, and the tokenizer's own parts of them.
+_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+").fullmatch
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+
 class Words:
     """Ids of whole texts; white space is dropped by this tokenizer, so that they are those of its words one after the other.
 
@@ -64,12 +70,15 @@ class Words:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.mark, self.mark_id = next((c, x[0]) for c in "\u00a6\u00ac\u00b6\u2020|~^" if len(x := self._ids(c)) == 1 and self.last[x[0]])
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
-        alone = [w for w in new if self.mark in w]
+    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
+        alone = [w for w in new if self.mark in w and w != self.mark]
+        if len(alone) < len(new) and self.mark in new:
+            known[self.mark] = np.array([self.mark_id], "<u4").tobytes()
         new = [w for w in new if self.mark not in w]
         for at in range(0, len(new), 4000):
             part = new[at : at + 4000]
@@ -80,9 +89,19 @@ class Words:
                 continue
             raw = ids.tobytes()
             starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
-            self.known.update(zip(part, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+            known.update(zip(part, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
         for w in alone:
-            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
+            known[w] = np.array(self._ids(w), "<u4").tobytes()
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Words of printable Latin-1 characters have the ids of their parts in lower case; others are encoded whole."""
+        plain = [w for w in new if _PLAIN(w)]
+        cut = [_PARTS(w.lower()) for w in plain]
+        if len(self.parts) > MEMORY:
+            self.parts = {}
+        self._learn([p for p in set().union(*cut) if p not in self.parts], self.parts)
+        self.known.update(zip(plain, [b"".join([self.parts[p] for p in c]) for c in cut], strict=True))
+        self._learn([w for w in new if w not in self.known], self.known)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -91,7 +110,7 @@ class Words:
         if len(self.known) + len(new) > MEMORY:
             self.known = {"": b""}
             new = [w for w in every if w]
-        self._learn(new)
+        self._learn_words(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 

@@ -61,7 +61,7 @@ def test_words_as_the_library():
     import random
 
     rng, theirs, own = random.Random(2), Tokenizer.from_file(PATH), packing.Words(PATH)
-    for alphabet in ("ab'st ", "éÉßİ Ω", "\u00a6\u00ac\u00b6|~^ x", "0123 .,\n\t", "e\u0301 \u0301a\u0308 \u00a0\u2003\x1cz", "東京 日本😀 "):
+    for alphabet in ("ab'st ", "éÉßİ Ω", "\u00a6\u00ac\u00b6|~^ x", "0123 .,\n\t", "e\u0301 \u0301a\u0308 \u00a0\u2003\x1cz", "東京 日本😀 ", "\u00ad\u00b5\u00aa\u00b2\u00bd\u00d7ßÿÀ¡¿'llS "):
         texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(300)]
         for text, ids in zip(texts, own.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
