@@ -33,8 +33,8 @@ CAPACITY = 2048
 #: Pieces are not cut finer than this.
 GRAIN = 64
 END_ID = 1
-#: Words whose ids a worker remembers; it starts afresh beyond that.
-MEMORY = 500_000
+#: Words, and parts of words, whose ids a worker remembers; it starts afresh beyond that.
+MEMORY, PARTS = 400_000, 1_000_000
 
 PIECE = [
     T.StructField("start", T.LongType()),
@@ -97,7 +97,7 @@ class Words:
         """Words of printable Latin-1 characters have the ids of their parts in lower case; others are encoded whole."""
         plain = [w for w in new if _PLAIN(w)]
         cut = [_PARTS(w.lower()) for w in plain]
-        if len(self.parts) > MEMORY:
+        if len(self.parts) > PARTS:
             self.parts = {}
         self._learn([p for p in set().union(*cut) if p not in self.parts], self.parts)
         self.known.update(zip(plain, [b"".join([self.parts[p] for p in c]) for c in cut], strict=True))
