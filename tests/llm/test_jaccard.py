@@ -69,6 +69,20 @@ def test_groups_hold_every_linked_pair():
             assert set(jaccard.signatures(np.sort(x), 85)) & set(jaccard.signatures(np.sort(y), 85))
 
 
+def test_parities_never_differ_in_more_than_the_sets():
+    rng = random.Random(5)
+    import numpy as np
+
+    for _ in range(200):
+        pool = np.array([rng.getrandbits(64) for _ in range(rng.choice([2, 9, 100, 3000, 20000]))], np.uint64)
+        sets = [np.unique(pool[rng.randrange(len(pool) // 2) : len(pool) // 2 + 1 + rng.randrange(len(pool) // 2)]) for _ in range(3)]
+        rows = jaccard.folded([jaccard.parity(x) for x in sets])
+        for x, a in zip(sets, rows, strict=True):
+            for y, b in zip(sets, rows, strict=True):
+                assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+        assert not (jaccard.folded([jaccard.parity(sets[0])] * 2)[0] ^ jaccard.folded([jaccard.parity(sets[0])])[0]).any()
+
+
 def test_odd_rows(docs, no_docs):
     got = jaccard.link(docs).collect()
     assert len(got) == docs.count()
