@@ -76,11 +76,27 @@ def test_parities_never_differ_in_more_than_the_sets():
     for _ in range(200):
         pool = np.array([rng.getrandbits(64) for _ in range(rng.choice([2, 9, 100, 3000, 20000]))], np.uint64)
         sets = [np.unique(pool[rng.randrange(len(pool) // 2) : len(pool) // 2 + 1 + rng.randrange(len(pool) // 2)]) for _ in range(3)]
-        rows = jaccard.folded([jaccard.parity(x) for x in sets])
+        marks = [jaccard.parity(x) for x in sets]
+        rows = jaccard.folded(marks, min(map(len, marks)))
         for x, a in zip(sets, rows, strict=True):
             for y, b in zip(sets, rows, strict=True):
                 assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
-        assert not (jaccard.folded([jaccard.parity(sets[0])] * 2)[0] ^ jaccard.folded([jaccard.parity(sets[0])])[0]).any()
+
+
+def test_one_leaf_and_tree_find_the_same(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for low, high in ((0, 4), (4, 64), (0, 1 << 60)):
+        sets = [np.unique(rng.choice(rng.integers(0, 1 << 63, 60, np.uint64) if k % 9 == 0 else np.arange(40, dtype=np.uint64), rng.integers(28, 44))) for k in range(25)]
+        n = np.array([len(x) for x in sets])
+        gid, comp, role = rng.permutation(25), rng.integers(0, 6, 25), rng.integers(0, 3, 25)
+        points = np.array([np.bincount((jaccard.mix(x) % np.uint64(64)).astype(int), minlength=64) for x in sets], np.int32)
+        marks = [jaccard.parity(x) for x in sets]
+        pairs = lambda found: sorted((int(a), int(b)) for p, q in found for a, b in zip(p, q, strict=True))
+        want = pairs(jaccard.partners(gid, n, comp, role, points, marks, low, high, 60))
+        assert pairs(jaccard.leaf_partners(np.array([0]), np.array([25]), gid, n, comp, role, points, marks, low, high, 60)) == want
+        assert want or low
 
 
 def test_odd_rows(docs, no_docs):
