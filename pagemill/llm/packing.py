@@ -15,13 +15,13 @@ are packed each for itself. Other columns of the input are passed on with each p
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ CAPACITY = 2048
 GRAIN = 64
 END_ID = 1
 #: Words, and parts of words, whose ids a worker remembers; it starts afresh beyond that.
-MEMORY, PARTS = 400_000, 1_000_000
+MEMORY, PARTS = 300_000, 400_000
 
 PIECE = [
     T.StructField("start", T.LongType()),
@@ -49,8 +49,11 @@ LOOSE = [T.StructField("_k", T.LongType()), T.StructField("_exact", T.BooleanTyp
 
 
 #: Characters that neither normal forms nor white space of other kinds touch, and the tokenizer's own parts of them.
-_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+").fullmatch
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_ODD = re.compile(r"[^\n]*[^\n\x21-\x7E\xA1-\xFF][^\n]*").findall
+_LETTER, _NUMBER = r"a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF", r"0-9\xB2\xB3\xB9\xBC-\xBE"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+|\n").findall
+#: Stands between the ids of words; no id is as large.
+_BETWEEN = 0xFFFFFFFF
 
 
 class Words:
@@ -95,13 +98,17 @@ class Words:
 
     def _learn_words(self, new: list[str]) -> None:
         """Words of printable Latin-1 characters have the ids of their parts in lower case; others are encoded whole."""
-        plain = [w for w in new if _PLAIN(w)]
-        cut = [_PARTS(w.lower()) for w in plain]
+        if odd := set(_ODD("\n".join(new))):
+            self._learn(list(odd), self.known)
+            new = [w for w in new if w not in odd]
+        cut = _PARTS("\n".join(new).lower())
         if len(self.parts) > PARTS:
             self.parts = {}
-        self._learn([p for p in set().union(*cut) if p not in self.parts], self.parts)
-        self.known.update(zip(plain, [b"".join([self.parts[p] for p in c]) for c in cut], strict=True))
-        self._learn([w for w in new if w not in self.known], self.known)
+        self._learn([p for p in set(cut) if p not in self.parts and p != "\n"], self.parts)
+        self.parts["\n"] = _BETWEEN.to_bytes(4, "little")
+        raw = b"".join(map(self.parts.__getitem__, cut))
+        marks = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == _BETWEEN)
+        self.known.update(zip(new, [raw[i:j] for i, j in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)], strict=bool(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
