@@ -102,3 +102,31 @@ def clusters(boxes: pd.DataFrame) -> pd.DataFrame:
 
 def cluster_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.select("page", "box_id", "x", "y", "w", "h").groupBy("page").applyInPandas(clusters, "page long, cluster long, n_boxes long, x double, y double, w double, h double")
+
+
+#: Share of the smaller set of words from which two texts overlap.
+TEXT_OVERLAP = 0.5
+
+
+def text_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, overlap for all pairs of (a, words) and (b, words) that share TEXT_OVERLAP or more of the smaller set.
+
+    Such a pair shares one of the rarest words of the smaller set, those that remain without the needed number, plus one.
+    So candidates meet on rare words only, and are verified on the sets.
+    """
+    left, right = (t.withColumn("_k", F.size("words")).where("_k > 0") for t in (left, right))
+    every = left.select(F.explode("words").alias("w")).union(right.select(F.explode("words")))
+    counts = every.groupBy("w").agg(F.count("*").alias("_n"))
+
+    def ranked(t: DataFrame, key: str) -> DataFrame:
+        rows = t.select(key, "_k", F.explode("words").alias("w")).join(counts, "w")
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_n", "w")))
+
+    x, y = ranked(left, "a"), ranked(right, "b")
+    rare = lambda t: t.where(F.col("_r") <= F.col("_k") - F.ceil(TEXT_OVERLAP * F.col("_k")) + 1)
+    one = rare(y).select("b", "w", F.col("_k").alias("kb")).join(x.select("a", "w", "_k"), "w").where("_k >= kb")
+    two = rare(x).select("a", "w", "_k").join(y.select("b", "w", F.col("_k").alias("kb")), "w").where("_k < kb")
+    met = one.select("a", "b").union(two.select("a", "b")).distinct()
+    both = met.join(left.select("a", F.col("words").alias("wa")), "a").join(right.select("b", F.col("words").alias("wb")), "b")
+    share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
+    return both.withColumn("overlap", share).where(F.col("overlap") >= TEXT_OVERLAP).select("a", "b", F.round("overlap", 6).alias("overlap"))

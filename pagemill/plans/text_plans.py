@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import matching as M
 from ..sources import derive as D
 from .registry import query
 
@@ -26,7 +27,7 @@ def _labels(spark, sf):
     return D.entries(spark, sf).select("entry", T.entry_label(F.col("text")).cast("long").alias("number")).where("number IS NOT NULL")
 
 
-_LABELS = r"labelled AS (SELECT entry, regexp_extract(text, '^\s*\[([0-9]{1,3})\]\s', 1)::BIGINT AS number FROM d_entries)"
+_LABELS = r"labelled AS (SELECT entry, number::BIGINT AS number FROM (SELECT entry, regexp_extract(text, '^\s*\[([0-9]{1,3})\]\s', 1) AS number FROM d_entries) WHERE number <> '')"
 
 
 @query(f"WITH {D.CITING}, {_LIST} SELECT node, number FROM nums")
@@ -78,13 +79,13 @@ def term_discovery(spark, sf):
 _TOK = r"list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> ''))"
 
 
-@query(f"""WITH a AS (SELECT doc_id, {_TOK.format('text')} AS ta FROM documents), b AS (SELECT item_id, {_TOK.format('text')} AS tb FROM benchmark)
-SELECT doc_id, item_id, round(len(list_intersect(ta, tb)) / least(len(ta), len(tb)), 6) AS overlap FROM a JOIN b ON doc_id % 40 = item_id % 40 WHERE len(ta) > 0 AND len(tb) > 0""")
+@query(f"""WITH a AS (SELECT doc_id, {_TOK.format('text')} AS ta FROM documents), b AS (SELECT item_id, {_TOK.format('text')} AS tb FROM benchmark),
+o AS (SELECT doc_id, item_id, len(list_intersect(ta, tb)) / least(len(ta), len(tb)) AS overlap FROM a, b WHERE len(ta) > 0 AND len(tb) > 0)
+SELECT doc_id, item_id, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.5""")
 def text_overlap(spark, sf):
-    docs = D.table(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("ta"), (F.col("doc_id") % 40).alias("k"))
-    items = D.table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("tb"), (F.col("item_id") % 40).alias("k"))
-    both = docs.join(items, "k").where((F.size("ta") > 0) & (F.size("tb") > 0))
-    return both.select("doc_id", "item_id", F.round(F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb")), 6).alias("overlap"))
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    items = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("b"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    return M.text_overlaps(docs, items).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "overlap")
 
 
 @query(r"""SELECT p_partkey, p_name, CASE WHEN regexp_matches(t, '(?i)^(Figure|Fig\.)\s*[0-9]+') THEN 'FIGURE' WHEN regexp_matches(t, '(?i)^Table\s*[0-9]+') THEN 'TABLE' END AS kind
@@ -138,27 +139,27 @@ def stable_ids(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", T.stable_id(F.col("source"), F.lit("doc"), F.col("doc_id")).alias("id"))
 
 
-@query("SELECT doc_id, '[TRANSLATED] ' || substr(text, 1, 40) AS content, 'dummy' AS model, substr(sha256('dummy|' || lang || '|' || text), 1, 16) AS cache_key FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, sha256('[TRANSLATED] ' || text) AS content, 'dummy' AS model, substr(sha256('dummy|' || lang || '|' || text), 1, 16) AS cache_key FROM documents WHERE length(text) > 0")
 def dummy_translate(spark, sf):
     docs = D.table(spark, sf, "documents").where("length(text) > 0")
-    return docs.select("doc_id", F.concat(F.lit("[TRANSLATED] "), F.substring("text", 1, 40)).alias("content"), F.lit("dummy").alias("model"), F.substring(F.sha2(F.concat_ws("|", F.lit("dummy"), "lang", "text"), 256), 1, 16).alias("cache_key"))
+    return docs.select("doc_id", F.sha2(F.concat(F.lit("[TRANSLATED] "), "text"), 256).alias("content"), F.lit("dummy").alias("model"), F.substring(F.sha2(F.concat_ws("|", F.lit("dummy"), "lang", "text"), 256), 1, 16).alias("cache_key"))
 
 
-@query("""WITH old AS (SELECT conv_id, min(turn) AS pos, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), new AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0 GROUP BY conv_id)
+@query("""WITH old AS (SELECT conv_id, min(turn) AS pos, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), new AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND length(text) >= 100 GROUP BY conv_id)
 SELECT conv_id, coalesce(o.pos, 1000000 + conv_id) AS pos, sha256(coalesce(n.text, o.text)) AS content FROM old o FULL JOIN new n USING (conv_id)""")
 def translation_upsert(spark, sf):
     turns = D.table(spark, sf, "conversations")
     old = turns.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("pos"), F.max_by("text", "turn").alias("old"))
-    new = turns.where("role = 'assistant' AND conv_id % 3 = 0").groupBy("conv_id").agg(F.max_by("text", "turn").alias("new"))
+    new = turns.where("role = 'assistant' AND length(text) >= 100").groupBy("conv_id").agg(F.max_by("text", "turn").alias("new"))
     return old.join(new, "conv_id", "full_outer").select("conv_id", F.coalesce("pos", F.col("conv_id") + 1000000).alias("pos"), F.sha2(F.coalesce("new", "old"), 256).alias("content"))
 
 
-@query("""SELECT d.doc_id, coalesce(l.quality = 1, false) AS translated, CASE WHEN l.quality = 1 THEN '[TRANSLATED] ' || substr(d.text, 1, 20) ELSE substr(d.text, 1, 20) END AS content FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("""SELECT d.doc_id, coalesce(l.quality = 1, false) AS translated, sha256(CASE WHEN l.quality = 1 THEN '[TRANSLATED] ' || d.text ELSE d.text END) AS content FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def translation_overlay(spark, sf):
     rows = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left")
     new = F.coalesce(F.col("quality") == 1, F.lit(False))
-    source = F.substring("text", 1, 20)
-    return rows.select("doc_id", new.alias("translated"), F.when(new, F.concat(F.lit("[TRANSLATED] "), source)).otherwise(source).alias("content"))
+    content = F.when(new, F.concat(F.lit("[TRANSLATED] "), "text")).otherwise(F.col("text"))
+    return rows.select("doc_id", new.alias("translated"), F.sha2(content, 256).alias("content"))
 
 
 @query("""WITH m AS (SELECT DISTINCT lower(p_brand) AS k FROM part), c AS (SELECT DISTINCT p_type AS term FROM part UNION SELECT DISTINCT upper(p_brand) FROM part) SELECT term FROM c WHERE lower(term) NOT IN (SELECT k FROM m)""")
@@ -201,8 +202,8 @@ def label_normalise(spark, sf):
 
 
 @query(f"""WITH {D.PIECES}, n AS (SELECT doc_id, pos, text, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM d_cand)
-SELECT doc_id, pos, sha256(CASE WHEN regexp_matches(a, '-{{1,2}}$') AND regexp_matches(b, '^\\p{{Ll}}') THEN regexp_replace(a, '-{{1,2}}$', '') || b ELSE a || ' ' || b END) AS joined FROM (SELECT doc_id, pos, b, substr(text, 1, 50) || '-' AS a FROM n WHERE b <> '')""")
+SELECT doc_id, pos, sha256(CASE WHEN regexp_matches(a, '-{{1,2}}$') AND regexp_matches(b, '^\\p{{Ll}}') THEN regexp_replace(a, '-{{1,2}}$', '') || b ELSE a || ' ' || b END) AS joined FROM (SELECT doc_id, pos, b, text || '-' AS a FROM n WHERE b <> '')""")
 def hyphen_join(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("pos")
     rows = D.pieces(spark, sf).withColumn("b", F.lead("text").over(w)).where("b <> ''")
-    return rows.select("doc_id", "pos", F.sha2(T.hyphen_join(F.concat(F.substring("text", 1, 50), F.lit("-")), F.col("b")), 256).alias("joined"))
+    return rows.select("doc_id", "pos", F.sha2(T.hyphen_join(F.concat("text", F.lit("-")), F.col("b")), 256).alias("joined"))

@@ -85,14 +85,15 @@ CITING = """d_cites AS (
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Bibliography entries with a label in brackets, an author and a year."""
+    """Bibliography entries with an author, a year and, but for small parts, a label in brackets."""
     p = F.col("p_partkey")
-    text = F.concat(F.lit("["), p.cast("string"), F.lit("] Part"), F.chr((p % 26) + 97), F.lit(" "), F.col("p_name"), F.lit(" "), (F.lit(1992) + p % 7).cast("string"))
-    return table(spark, sf, "part").where("p_partkey < 120").select(p.alias("entry"), text.alias("text"))
+    label = F.when(F.col("p_size") > 5, F.concat(F.lit("["), p.cast("string"), F.lit("] "))).otherwise("")
+    text = F.concat(label, F.lit("Part"), F.chr((p % 26) + 97), F.lit(" "), F.col("p_name"), F.lit(" "), (F.lit(1992) + p % 7).cast("string"))
+    return table(spark, sf, "part").select(p.alias("entry"), text.alias("text"))
 
 
 ENTRIES = """d_entries AS (
-  SELECT p_partkey AS entry, '[' || p_partkey || '] Part' || chr((p_partkey % 26 + 97)::INTEGER) || ' ' || p_name || ' ' || (1992 + p_partkey % 7) AS text FROM part WHERE p_partkey < 120)"""
+  SELECT p_partkey AS entry, CASE WHEN p_size > 5 THEN '[' || p_partkey || '] ' ELSE '' END || 'Part' || chr((p_partkey % 26 + 97)::INTEGER) || ' ' || p_name || ' ' || (1992 + p_partkey % 7) AS text FROM part)"""
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
