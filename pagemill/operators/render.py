@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Margins of 25 mm in points, the least height of a fragment, cells shown, characters of context.
+# Margins of 25 mm in points, the least height of a fragment; cells shown, characters of context.
 MARGIN, LEAST_HEIGHT = 70.866, 12.0
 SHOWN_CELLS, CONTEXT = 20, 240
+# Fixed values of a draft's score: base, for each evidence, for the best weight, and the cap.
+BASE, EACH, BEST, CAP = 0.7, 0.1, 0.2, 0.95
 
 
 def anchor_fragments(anchors: DataFrame, width: float, height: float) -> DataFrame:
@@ -59,5 +61,5 @@ def finalised(boxes: DataFrame) -> DataFrame:
     """Score of each page's draft from the number of its evidence and the best confidence; its labels, best first, each once."""
     labels = boxes.groupBy("page", "label").agg(F.max("confidence").alias("_c"), F.count("*").alias("_n"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("c"), "label"))), lambda s: s["label"])
-    score = F.least(F.lit(0.95), F.lit(0.5) + 0.05 * F.sum("_n") + 0.2 * F.max("_c"))
+    score = F.least(F.lit(CAP), F.lit(BASE) + EACH * F.sum("_n") + BEST * F.max("_c"))
     return labels.groupBy("page").agg(F.round(score, 4).alias("score"), F.array_join(ordered, ",").alias("labels"))

@@ -64,7 +64,7 @@ def issue_store_merge(spark, sf):
 
 
 @query(f"""WITH {D.BOXES}, l AS (SELECT page, label, max(confidence) AS c, count(*) AS n FROM d_boxes GROUP BY page, label)
-SELECT page, round(least(0.95, 0.5 + 0.05 * sum(n) + 0.2 * max(c)), 4)::DOUBLE AS score, string_agg(label, ',' ORDER BY c DESC, label) AS labels FROM l GROUP BY page""")
+SELECT page, round(least(0.95, 0.7 + 0.1 * sum(n) + 0.2 * max(c)), 4)::DOUBLE AS score, string_agg(label, ',' ORDER BY c DESC, label) AS labels FROM l GROUP BY page""")
 def draft_finalisation(spark, sf):
     return E.finalised(D.boxes(spark, sf))
 
