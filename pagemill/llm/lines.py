@@ -5,8 +5,10 @@ and the first DEPTH tokens are the path to a leaf. In a leaf, the token that ove
 place is fixed there, and other tokens are variable; a line that agrees with the fixed tokens in at least SIMILAR of
 its places has the template of these with `<*>` elsewhere, any other line is a template of its own. A template
 of MIN_TOKENS tokens or more in MIN_DOCS documents or more is recurring: its lines are dropped, but for the first
-(by doc_id, then line), so that no content is lost. Documents of which more than MAX_SHARE of the words would go are
-copies of others rather than hosts of shared lines; they stay whole, for near-duplicate removal.
+(by doc_id, then line), so that no content is lost. The query, as its SQL says, leaves documents whole of which more than
+MAX_SHARE of the words would go. The pipeline (whole=True) leaves of these only near copies whole, for near-duplicate
+removal: those whose shingles of COPY_WORDS words have a Jaccard similarity of COPY or more to the document that has the
+most of their recurring words first.
 
 Only built-in functions. Lines are counted before leaves and templates are joined, so a line that a third of all
 documents have is one row where sums are made; joins on hot leaves are inner or semi joins that Spark splits.
@@ -22,6 +24,8 @@ from .common import stage, table
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
 SIMILAR, MAX_SHARE = 0.7, 0.5
+#: What the pipeline's near-duplicate stage takes for copies.
+COPY_WORDS, COPY = 5, 0.8
 
 _BLANK = r"[\x20\x09\x0B-\x0D]+"
 
@@ -63,8 +67,8 @@ def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("leaf", "masked", F.when(agree >= SIMILAR * F.size("own"), F.array_join("own", " ", "<*>")).otherwise(F.col("masked")).alias("template"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """doc_id, version and the numbers (from 0) of the lines to drop; documents that stay whole are left out."""
+def dropped(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, version, the numbers (from 0) of the lines to drop, their words and, if whole, the host of most of these words; documents without such lines are left out."""
     lines = _lines(docs)
     # Without the text, by hashes: read twice, while texts are read once for this and once for the templates.
     places = stage(lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")), "places")
@@ -74,21 +78,52 @@ def dropped(docs: DataFrame) -> DataFrame:
     at = stage(at.select("doc_id", "version", "line", "n_tokens", "leaf", "template"), "occurrences")
     by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"))
     recurring = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("docs") >= MIN_DOCS)
-    out = at.join(recurring, ["leaf", "template"]).where("doc_id <> first.doc_id OR line <> first.line").select("doc_id", "version", "line", "n_tokens").distinct()
-    return out.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("n_tokens").alias("words"))
-
-
-def clean(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the recurring lines taken out of its text, and the columns n_lines and n_dropped."""
+    out = at.join(recurring, ["leaf", "template"]).where("doc_id <> first.doc_id OR line <> first.line")
+    if not whole:
+        out = out.select("doc_id", "version", "line", "n_tokens").distinct()
+        return out.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("n_tokens").alias("words"))
+    out = out.select("doc_id", "version", "line", "n_tokens", F.col("first.doc_id").alias("host")).distinct()
+    by_host = out.groupBy("doc_id", "version", "host").agg(F.collect_list("line").alias("lines"), F.sum("n_tokens").alias("words"))
+    most = F.max(F.struct("words", (-F.col("host")).alias("host")))
+    return by_host.groupBy("doc_id", "version").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"), F.sum("words").alias("words"), (-most["host"]).alias("host"))
+
+
+def _shingles(text: str) -> Column:
+    """Hashes of the different runs of COPY_WORDS words, or of a shorter text as a whole; A-Z in lower case."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    runs = F.arrays_zip(*(F.slice(words, 1 + i, F.size(words)).alias(f"w{i}") for i in range(COPY_WORDS)))
+    return F.array_distinct(F.transform(F.slice(runs, 1, F.greatest(F.size(words) - COPY_WORDS + 1, F.lit(1))), lambda r: F.xxhash64(r)))
+
+
+def copies(over: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of over (doc, version, text, host) the doc and version of those that are near copies of a text of their host; docs has doc_id and text."""
+    other = docs.select(F.col("doc_id").alias("host"), F.col("text").alias("host_text"))
+    pairs = over.where("doc <> host").join(other, "host").select("doc", "version", _shingles("text").alias("x"), _shingles("host_text").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.where(shared >= COPY * (F.size("x") + F.size("y") - shared)).select("doc", "version").distinct()
+
+
+def clean(docs: DataFrame, text: str = "text", prefix: str = "", whole: bool = False) -> DataFrame:
+    """docs with the recurring lines taken out of its text, and the columns n_lines and n_dropped; whole: as the pipeline does."""
     if clash := {prefix + "n_lines", prefix + "n_dropped"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
     version = F.xxhash64(F.col(f"`{text}`"))
-    gone = dropped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), version.alias("version")))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.col("lines").alias("__lines"), F.col("words").alias("__words"))
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), version.alias("version"))
+    gone = dropped(pairs, whole)
+    gone = gone.select(F.col("doc_id").alias("__doc"), *(F.col(c).alias(f"__{c}") for c in gone.columns[1:]))
+    if whole:
+        gone = stage(gone, "gone")
     joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (version == F.col("__version")), "left")
     t = F.col(f"`{text}`")
     words = F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    joined = joined.withColumn("__drop", F.when(F.col("__lines").isNotNull() & (F.col("__words") <= MAX_SHARE * words), F.col("__lines")))
+    few = F.col("__words") <= MAX_SHARE * words
+    if whole:
+        over = joined.where(F.col("__lines").isNotNull() & ~few).select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), t.alias("text"), F.col("__host").alias("host"))
+        found = stage(copies(over, pairs), "copies").select(F.col("doc").alias("__copy"), F.col("version").alias("__copy_version"))
+        joined = joined.join(found, (F.col("__doc") == F.col("__copy")) & (F.col("__version") == F.col("__copy_version")), "left")
+        few = F.col("__copy").isNull()
+    joined = joined.withColumn("__drop", F.when(F.col("__lines").isNotNull() & few, F.col("__lines")))
     kept = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
     new = F.when(F.col("__drop").isNotNull(), kept).otherwise(t)
     columns = [(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns]

@@ -36,3 +36,15 @@ def test_masks(spark):
     raw = ["a1 b  c\t2d", "no digits  here ", " 12:30 x", ""]
     got = spark.createDataFrame([(r,) for r in raw], "r string").select(lines._masked(F.col("r")).alias("m"))
     assert [r.m for r in got.collect()] == ["<*> b c <*>", "no digits here", "<*> x", ""]
+
+
+def test_pipeline_drops_whatever_the_share_but_spares_near_copies(spark):
+    import corpus_pipeline
+
+    shared = "Copyright by the Example Press of Town and all that belongs to it"
+    rows = [(i, body(i) + "\n" + shared, "en", "s", 1) for i in range(4)]
+    # Mostly boilerplate, but no copy; then three copies of one text of which the first stays and two are spared.
+    rows += [(10, "a few own words\n" + shared, "en", "s", 1)] + [(i, body(7), "en", "s", 1) for i in (20, 21, 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], **{i: body(i) for i in (1, 2, 3)}, 10: "a few own words", **{i: body(7) for i in (20, 21, 22)}}
