@@ -8,7 +8,8 @@ of MIN_TOKENS tokens or more in MIN_DOCS documents or more is recurring: its lin
 (by doc_id, then line), so that no content is lost. The query, as its SQL says, leaves documents whole of which more than
 MAX_SHARE of the words would go. The pipeline (whole=True) leaves of these only near copies whole, for near-duplicate
 removal: those whose shingles of COPY_WORDS words have a Jaccard similarity of COPY or more to the document that has the
-most of their recurring words first.
+most of their recurring words first. In the pipeline, templates of over LONG tokens recur from LONG_DOCS documents on,
+and such of under MIN_TOKENS from SHORT_DOCS on, unless all their tokens are variable (rows of numbers).
 
 Only built-in functions. Lines are counted before leaves and templates are joined, so a line that a third of all
 documents have is one row where sums are made; joins on hot leaves are inner or semi joins that Spark splits.
@@ -24,6 +25,8 @@ from .common import stage, table
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
 SIMILAR, MAX_SHARE = 0.7, 0.5
+#: Documents that make a template recurring in the pipeline, by its tokens: the shorter, the more. Beyond the last, LONG_DOCS.
+SHORT_DOCS, LONG, LONG_DOCS = {1: 80, 2: 40, 3: 20}, 50, 2
 #: What the pipeline's near-duplicate stage takes for copies.
 COPY_WORDS, COPY = 5, 0.8
 
@@ -43,13 +46,24 @@ def _n_tokens(masked: Column) -> Column:
     return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (hash of the text), line, masked, n_tokens, leaf of the lines long enough to be templates."""
+def _least(n_tokens: Column) -> Column:
+    """The documents from which on the pipeline takes a template of so many tokens for recurring."""
+    least = F.when(n_tokens > LONG, LONG_DOCS).otherwise(MIN_DOCS)
+    for n, docs in SHORT_DOCS.items():
+        least = F.when(n_tokens == n, docs).otherwise(least)
+    return least
+
+
+def _lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, version (hash of the text), line, masked, n_tokens, leaf of the lines long enough to be templates, or all that have a fixed token."""
     # Lines are made inside the generator, whose rows no later step computes again.
     masked = F.transform(F.split("text", "\n"), _masked)
     rows = F.transform(masked, lambda m: F.struct(m.alias("masked"), _n_tokens(m).alias("n_tokens")))
     rows = docs.select("doc_id", "version", F.posexplode(rows).alias("line", "x")).select("doc_id", "version", "line", "x.masked", "x.n_tokens")
-    return rows.where(F.col("n_tokens") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH)))
+    long = F.col("n_tokens") >= MIN_TOKENS
+    if whole:
+        long = long | (F.col("masked") != "") & ~F.col("masked").rlike(r"^<\*>(?: <\*>)*$")
+    return rows.where(long).withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH)))
 
 
 def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
@@ -69,15 +83,17 @@ def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, version, the numbers (from 0) of the lines to drop, their words and, if whole, the host of most of these words; documents without such lines are left out."""
-    lines = _lines(docs)
+    lines = _lines(docs, whole)
     # Without the text, by hashes: read twice, while texts are read once for this and once for the templates.
     places = stage(lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")), "places")
     # One row for each different line: templates are told apart by leaf and hash.
     names = templates(lines, places).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
     at = places.join(names, ["leaf", "own"])
     at = stage(at.select("doc_id", "version", "line", "n_tokens", "leaf", "template"), "occurrences")
-    by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"))
-    recurring = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("docs") >= MIN_DOCS)
+    by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"), *([F.min("n_tokens").alias("n_tokens")] if whole else []))
+    # A leaf's lines have one number of tokens.
+    by_doc = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first"), *([F.min("n_tokens").alias("n")] if whole else []))
+    recurring = by_doc.where(F.col("docs") >= (_least(F.col("n")) if whole else MIN_DOCS)).drop("n")
     out = at.join(recurring, ["leaf", "template"]).where("doc_id <> first.doc_id OR line <> first.line")
     if not whole:
         out = out.select("doc_id", "version", "line", "n_tokens").distinct()

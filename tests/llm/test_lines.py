@@ -48,3 +48,17 @@ def test_pipeline_drops_whatever_the_share_but_spares_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {0: rows[0][1], **{i: body(i) for i in (1, 2, 3)}, 10: "a few own words", **{i: body(7) for i in (20, 21, 22)}}
+
+
+def test_pipeline_drops_long_lines_of_two_documents_and_frequent_short_ones(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("x", "y", "z", "u", "v", "w", "t"))
+    rows = [(i, body(i) + "\n" + long, "en", "s", 1) for i in range(2)]
+    rows += [(10 + i, f"{body(i % 8)} {'only' * (i + 1)}\nAll rights reserved.\n12 45 {i}" + ("\ntwo words" if i < 30 else ""), "en", "s", 1) for i in range(22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert long in got[0] and long not in got[1]
+    # Three words in 22 documents go; two words in as many and rows of numbers stay.
+    assert [i for i in got if "All rights reserved." in got[i]] == [10]
+    assert all("two words" in got[10 + i] and f"12 45 {i}" in got[10 + i] for i in range(22))
