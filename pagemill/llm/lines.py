@@ -9,7 +9,8 @@ of MIN_TOKENS tokens or more in MIN_DOCS documents or more is recurring: its lin
 MAX_SHARE of the words would go. The pipeline (whole=True) leaves of these only near copies whole, for near-duplicate
 removal: those whose shingles of COPY_WORDS words have a Jaccard similarity of COPY or more to the document that has the
 most of their recurring words first. In the pipeline, templates of over LONG tokens recur from LONG_DOCS documents on,
-and such of under MIN_TOKENS from SHORT_DOCS on, unless all their tokens are variable (rows of numbers).
+and such of under MIN_TOKENS from SHORT_DOCS on, unless all their tokens are variable (rows of numbers); and a leaf has
+several groups: lines far from its fixed tokens are dealt out further by their most frequent tokens.
 
 Only built-in functions. Lines are counted before leaves and templates are joined, so a line that a third of all
 documents have is one row where sums are made; joins on hot leaves are inner or semi joins that Spark splits.
@@ -18,6 +19,8 @@ A null text has no lines and stays null; rows that repeat both doc_id and text a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +69,45 @@ def _lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     return rows.where(long).withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH)))
 
 
-def templates(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """leaf, masked and template of the lines in leaves that two documents or more share; places are the lines without their text."""
-    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("all")).where("a < b").select("leaf", "all")
-    counted = stage(lines.select("leaf", "masked").join(shared, "leaf").groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.max("all").alias("all")), "lines")
-    tokens = counted.select("leaf", "all", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    # All lines of a leaf have as many tokens, so a place is held as often as the leaf has lines.
-    fixed = tokens.groupBy("leaf", "all", "place", "token").agg(F.sum("n").alias("n")).where(2 * F.col("n") > F.col("all"))
-    fixed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
+def _fitted(counted: DataFrame, group: str) -> DataFrame:
+    """counted with template: the fixed tokens of the group with `<*>` elsewhere, or null if the line agrees with too few of them."""
+    tokens = counted.select(group, "all", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    # All lines of a group have as many tokens, so a place is held as often as the group has lines.
+    fixed = tokens.groupBy(group, "all", "place", "token").agg(F.sum("n").alias("n")).where(2 * F.col("n") > F.col("all"))
+    fixed = fixed.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
     # Null where a line's token is not the fixed one.
     own = F.transform(F.split("masked", " "), lambda t, i: F.when(t == F.element_at("fixed", i), t))
-    joined = counted.join(fixed, "leaf", "left").withColumn("own", own)
+    joined = counted.join(fixed, group, "left").withColumn("own", own)
     agree = F.size(F.array_compact("own"))
-    return joined.select("leaf", "masked", F.when(agree >= SIMILAR * F.size("own"), F.array_join("own", " ", "<*>")).otherwise(F.col("masked")).alias("template"))
+    return joined.withColumn("template", F.when(agree >= SIMILAR * F.size("own"), F.array_join("own", " ", "<*>"))).drop("fixed", "own")
+
+
+def templates(lines: DataFrame, places: DataFrame, whole: bool = False) -> DataFrame:
+    """leaf, masked and template of the lines in leaves that two documents or more share; places are the lines without their text."""
+    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("all")).where("a < b").select("leaf", "all")
+    counted = stage(lines.select("leaf", "masked").join(shared, "leaf").groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.max("all").alias("all")), "lines")
+    if not whole:
+        return _fitted(counted, "leaf").select("leaf", "masked", F.coalesce("template", "masked").alias("template"))
+    # Lines that agree with too few of their group's fixed tokens are dealt by the most frequent of their tokens that at
+    # most half of the group have: groups halve at least, so the rounds end.
+    out, open_ = [], counted.withColumn("group", F.col("leaf"))
+    while True:
+        named = stage(_fitted(open_, "group").select("leaf", "group", "masked", "n", "all", "template"), "named")
+        out.append(named.where("template IS NOT NULL").select("leaf", "masked", "template"))
+        rest = named.where("template IS NULL").drop("template")
+        if rest.isEmpty():
+            break
+        tokens = rest.select("*", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+        held = tokens.groupBy("group", "place", "token").agg(F.sum("n").alias("held"), F.count("*").alias("kinds"), F.max("all").alias("most"))
+        held = held.where("2 * held <= most AND kinds > 1").select("group", "place", "token", "held")
+        rank = F.when(F.col("held").isNotNull(), F.struct("held", -F.col("place")))
+        dealt = tokens.join(held, ["group", "place", "token"], "left").groupBy("leaf", "group", "masked", "n").agg(F.max_by(F.struct("place", "token"), rank).alias("by"))
+        dealt = stage(dealt.select("leaf", "masked", "n", F.when(F.col("by").isNotNull(), F.xxhash64("group", "by.place", "by.token")).alias("group")), "dealt")
+        # No other line has a token at one of their places: templates of their own.
+        out.append(dealt.where("group IS NULL").select("leaf", "masked", F.col("masked").alias("template")))
+        sizes = dealt.where("group IS NOT NULL").groupBy("group").agg(F.sum("n").alias("all"))
+        open_ = dealt.join(sizes, "group")
+    return reduce(DataFrame.union, out)
 
 
 def dropped(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -87,7 +116,7 @@ def dropped(docs: DataFrame, whole: bool = False) -> DataFrame:
     # Without the text, by hashes: read twice, while texts are read once for this and once for the templates.
     places = stage(lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")), "places")
     # One row for each different line: templates are told apart by leaf and hash.
-    names = templates(lines, places).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
+    names = templates(lines, places, whole).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
     at = places.join(names, ["leaf", "own"])
     at = stage(at.select("doc_id", "version", "line", "n_tokens", "leaf", "template"), "occurrences")
     by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"), *([F.min("n_tokens").alias("n_tokens")] if whole else []))

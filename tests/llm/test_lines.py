@@ -62,3 +62,16 @@ def test_pipeline_drops_long_lines_of_two_documents_and_frequent_short_ones(spar
     # Three words in 22 documents go; two words in as many and rows of numbers stay.
     assert [i for i in got if "All rights reserved." in got[i]] == [10]
     assert all("two words" in got[10 + i] and f"12 45 {i}" in got[10 + i] for i in range(22))
+
+
+def test_pipeline_finds_several_templates_in_a_leaf(spark):
+    import corpus_pipeline
+
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz", "gerd", "hans"]
+    said = [f"This page was {x} {n} {y}" for x, y in (("written by", "today"), ("moved to", "yesterday")) for n in names[:4]]
+    said += ["This page was once a green garden", "This page was never any red lake"]
+    rows = [(i, body(i % 8) + " " + "own" * (i + 1) + "\n" + line, "en", "s", 1) for i, line in enumerate(said)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # Of each of the two templates the first stays; so do lines of neither.
+    assert [i for i, line in enumerate(said) if line in got[i]] == [0, 4, 8, 9]
