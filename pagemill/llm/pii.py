@@ -44,8 +44,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 GENERATORS = {
     "national_id": r"(?<![0-9A-Za-z])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){3,7}+(?:[ ]?[0-9A-Z]{1,3})?",
-    "masked_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+[ ]?(?:\(at\)|\[at\]|@)[ ]?[A-Za-z0-9-]{2,63}+[ ]?(?:\(dot\)|\[dot\]|\.)[ ]?[A-Za-z]{2,10}",
-    "secret": r"(?i)(?:password|passwd|secret|api_?key|token)[ ]?[=:][ ]?[!-~]{6,128}+",
+    "masked_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++[ ]?(?:\(at\)|\[at\]|@)[ ]?[A-Za-z0-9-]++[ ]?(?:\(dot\)|\[dot\]|\.)[ ]?[A-Za-z]{2,}+",
+    "secret": r"(?i)(?:password|passwd|secret|api_?key|token)[ ]?[=:][ ]?[!-~]{6,}+",
     "local_phone": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{2,4}(?:[ ./-]{1,2}[0-9]{2,6}){1,4}+",
 }
 GENERATOR_HINT = {"local_phone": r"[0-9]\)?[ ./-]{1,2}[0-9]", "national_id": r"[0-9][- ][0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "masked_email": r"(?:\(at\)|\[at\]|@)", "secret": r"[=:]"}

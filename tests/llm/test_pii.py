@@ -90,3 +90,12 @@ def test_query_digest(spark, tmp_path):
     assert (got[1].n_email, got[1].n_ip, got[1].spans) == (1, 1, "email:0:6,ip:7:14")
     assert got[1].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_long_secrets_and_short_names_are_redacted_as_a_whole(spark):
+    key = "9f8e7d6c5b4a3021" * 40
+    rows = [(1, f"x token={key} y"), (2, "write to j (at) example (dot) org now"), (3, "write to " + "jane.doe." * 12 + "x (at) example (dot) org now")]
+    rows += [(4, "token=" + "a1" * 50_000), (5, "a." * 50_000 + " (at)")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1], got[2], got[3]) == ("x [SECRET] y", "write to [MASKED_EMAIL] now", "write to [MASKED_EMAIL] now")
+    assert got[4] == "[SECRET]" and got[5] == rows[4][1]
