@@ -118,3 +118,15 @@ def test_components(spark):
                 label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
+
+
+def test_versions_of_a_document_all_link(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(i, text("abcdef"[i - 1])) for i in range(1, 7)]
+    # Document 10 has versions near to 1, 3 and 5, and none; 11 has one near to 6, and 12 nothing but empty ones.
+    rows += [(10, text(k) + " end") for k in "ace"] + [(10, None), (11, text("f") + " end"), (11, text("z")), (12, None), (12, "")]
+    rows += [(13, text("z") + " end"), (20, text("c"))]
+    want = {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 6, 10: 1, 11: 6, 12: 12, 13: 6, 20: 1}
+    for parts in (1, 5):
+        got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
