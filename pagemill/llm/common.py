@@ -25,9 +25,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it names the folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,7 +44,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def drop(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again, and lets Spark delete the shuffle files of what is done."""
+    jvm = None
+    for df in staged:
+        if path := vars(df).pop("_staged_at", None):
+            context = df.sparkSession.sparkContext
+            jvm = context._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    if jvm:
+        jvm.System.gc()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -62,10 +79,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = stage(small, "edges")
         # The star graph is a fixed point: every node then has one edge, to a node that is nobody's larger end.
-        if after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty():
-            break
+        same = after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty()
+        drop(current)
         current = after
+        if same:
+            break
     else:
         raise RuntimeError("components: no fixed point")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    out = stage(current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    drop(current)
+    return out
