@@ -46,20 +46,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
+    # Lets Spark delete the shuffle files of what is now written.
+    spark.sparkContext._jvm.System.gc()
     return staged
 
 
 def drop(*staged: DataFrame) -> None:
-    """Deletes staged tables that nothing will read again, and lets Spark delete the shuffle files of what is done."""
-    jvm = None
+    """Deletes staged tables that nothing will read again."""
     for df in staged:
         if path := vars(df).pop("_staged_at", None):
             context = df.sparkSession.sparkContext
-            jvm = context._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-    if jvm:
-        jvm.System.gc()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -43,9 +43,11 @@ def corpus(seed, size=260):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "percent", "block"), [(1, 4, 85, 4096), (2, 5, 80, 4096), (3, 4, 85, 5)])
-def test_components_match_brute_force(spark, monkeypatch, seed, n, percent, block):
+@pytest.mark.parametrize(("seed", "n", "percent", "block", "hot"), [(1, 4, 85, 4096, 1 << 40), (2, 5, 80, 4096, 1 << 40), (3, 4, 85, 5, 4)])
+def test_components_match_brute_force(spark, monkeypatch, seed, n, percent, block, hot):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SHARE", 1.0)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs, n=n, percent=percent).collect()}
@@ -108,6 +110,35 @@ def test_odd_rows(docs, no_docs):
     assert jaccard.link(no_docs).count() == 0
 
 
+def test_buckets_of_streams(monkeypatch):
+    """Whatever the batches, members are those of signatures of two nodes or more, repeated rows once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for memory in (3, 1000):
+        monkeypatch.setattr(jaccard, "MEMORY", memory)
+        sig = np.sort(np.concatenate([rng.integers(0, 40, 90), np.full(30, 17)]))
+        node = np.arange(len(sig)) * 3 - 90
+        again = np.repeat(np.arange(len(sig)), rng.integers(1, 4, len(sig)))
+        for size in (1, 7, 500):
+            rows = [(sig[again][i : i + size], node[again][i : i + size]) for i in range(0, len(again), size)]
+            batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["signature", "node"]) for x, y in rows]
+            found = {}
+            for b in jaccard._buckets(iter(batches)):
+                for k, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    found.setdefault(k, []).append(g)
+            want = sorted(m for s in set(sig.tolist()) if len(m := sorted(set(node[sig == s].tolist()))) > 1)
+            assert sorted(sorted(m) for m in found.values() if len(m) > 1) == want
+
+
+def test_keep_first_takes_maps_and_clashing_names(spark):
+    rows = [(1, "a b c d e f", {"k": "v"}, 1), (1, "a b c d e f", {"k": "u"}, 2), (2, "a b c d e f", None, 3), (3, "other words stand here now", {}, 4), (None, "x", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n map<string,string>, component_id int")
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, 5), (1, 2), (3, 4)]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(5, 5)]
