@@ -15,6 +15,7 @@ are packed each for itself. Other columns of the input are passed on with each p
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ CAPACITY = 2048
 #: Pieces are not cut finer than this.
 GRAIN = 64
 END_ID = 1
-#: Words, and parts of words, whose ids a worker remembers; it starts afresh beyond that.
-MEMORY, PARTS = 300_000, 400_000
+#: Words, and parts of words, of a generation whose ids a worker remembers, and characters that are encoded at once.
+MEMORY, PARTS, CHUNK = 200_000, 200_000, 8 << 20
 
 PIECE = [
     T.StructField("start", T.LongType()),
@@ -52,15 +54,33 @@ LOOSE = [T.StructField("_k", T.LongType()), T.StructField("_exact", T.BooleanTyp
 _ODD = re.compile(r"[^\n]*[^\n\x21-\x7E\xA1-\xFF][^\n]*").findall
 _LETTER, _NUMBER = r"a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF", r"0-9\xB2\xB3\xB9\xBC-\xBE"
 _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+|\n").findall
-#: Stands between the ids of words; no id is as large.
-_BETWEEN = 0xFFFFFFFF
+
+
+class Memory:
+    """The ids of strings met lately: two generations, of which the older goes when the younger is full; those met again stay."""
+
+    def __init__(self, most: int, fixed: str):
+        self.most, self.fixed = most, {fixed: b""}
+        self.young, self.old = dict(self.fixed), {}
+
+    def ids(self, strings: list[str], learn) -> list[bytes]:
+        """learn gives the ids of those not remembered."""
+        if len(self.young) > self.most:
+            self.young, self.old = dict(self.fixed), self.young
+        young, old = self.young, self.old
+        if unmet := [s for s in strings if s not in young]:
+            young.update([(s, old[s]) for s in unmet if s in old])
+            if new := [s for s in unmet if s not in old]:
+                young.update(zip(new, learn(new), strict=True))
+        return [young[s] for s in strings]
 
 
 class Words:
     """Ids of whole texts; white space is dropped by this tokenizer, so that they are those of its words one after the other.
 
-    New words are encoded many in one call, with a mark between them that stands for itself: a character of one id,
-    which none of the words holds. Every part that the tokenizer's pattern cuts ends in an id of its own kind (`</w>`).
+    Words that are met for the first time are cut into the parts that the tokenizer's pattern tells apart, and these are given to its
+    model many in one call, without the normal forms and the pattern that they do not need. Every part ends in an id of
+    its own kind (`</w>`), which tells the parts' ids from each other.
     """
 
     def __init__(self, path: str):
@@ -68,57 +88,67 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        steps = [{"type": "WhitespaceSplit"}, *(x for x in own["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")]
+        self.bare = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.mark, self.mark_id = next((c, x[0]) for c in "\u00a6\u00ac\u00b6\u2020|~^" if len(x := self._ids(c)) == 1 and self.last[x[0]])
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
-        alone = [w for w in new if self.mark in w and w != self.mark]
-        if len(alone) < len(new) and self.mark in new:
-            known[self.mark] = np.array([self.mark_id], "<u4").tobytes()
-        new = [w for w in new if self.mark not in w]
-        for at in range(0, len(new), 4000):
-            part = new[at : at + 4000]
-            ids = np.array(self._ids(f" {self.mark} ".join(part)), "<u4")
-            marks = np.flatnonzero((ids == self.mark_id) & np.r_[True, self.last[ids[:-1]]]) if len(ids) else np.zeros(0, np.int64)
-            if len(marks) != len(part) - 1:
-                alone += part
-                continue
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
-            known.update(zip(part, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
-        for w in alone:
-            known[w] = np.array(self._ids(w), "<u4").tobytes()
-
-    def _learn_words(self, new: list[str]) -> None:
+        self.known, self.parts = Memory(MEMORY, ""), Memory(PARTS, "\n")
+
+    def _parts(self, new: list[str]) -> list[bytes]:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _words(self, new: list[str]) -> list[bytes]:
         """Words of printable Latin-1 characters have the ids of their parts in lower case; others are encoded whole."""
-        if odd := set(_ODD("\n".join(new))):
-            self._learn(list(odd), self.known)
-            new = [w for w in new if w not in odd]
-        cut = _PARTS("\n".join(new).lower())
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        self._learn([p for p in set(cut) if p not in self.parts and p != "\n"], self.parts)
-        self.parts["\n"] = _BETWEEN.to_bytes(4, "little")
-        raw = b"".join(map(self.parts.__getitem__, cut))
-        marks = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == _BETWEEN)
-        self.known.update(zip(new, [raw[i:j] for i, j in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)], strict=bool(new)))
+        text = "\n".join(new)
+        if odd := set(_ODD(text)):
+            text = "\n".join(["" if w in odd else w for w in new])
+        parts = pa.array(_PARTS(text.lower() + "\n"), pa.large_string()).dictionary_encode()
+        every, at = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        ids, stops = _joined(self.parts.ids(every, self._parts), at)
+        raw, stops = ids.tobytes(), (4 * stops[at == every.index("\n")]).tolist()
+        out = [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        if odd:
+            out = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if w in odd else x for w, x in zip(new, out, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = [w for w in every if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {"": b""}
-            new = [w for w in every if w]
-        self._learn_words(new)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        every = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, stops = _joined(self.known.ids(every, self._words), words.indices.to_numpy())
+        raw = ids.tobytes()
+        ends = (4 * np.r_[0, stops][split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        return [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _joined(own: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of own[at[0]], own[at[1]], ... one after the other, and where each ends."""
+    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    flat, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+    n = size[at]
+    stops = np.cumsum(n)
+    shift = (first[at] - (stops - n)).astype(np.int32)
+    place = np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)
+    place += np.repeat(shift, n)
+    return flat[place], stops
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about CHUNK characters, with their place."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > CHUNK:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 @lru_cache(2)
@@ -159,11 +189,11 @@ def _worker(path: str, schema: T.StructType, text: str, end_id: int):
             at = batch.schema.names.index(text)
             keep = [i for i in range(batch.num_columns) if i != at]
             empty = [batch.schema.field(i) for i in keep]
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low, texts in _chunks([t or "" for t in batch.column(at).to_pylist()]):
+                part = batch.slice(low, len(texts))
                 extra = list(zip(*(part.column(i).to_pylist() for i in keep), strict=True)) if keep else [()] * part.num_rows
                 rest, rows = [], []
-                for more, ids in zip(extra, own.encode([t or "" for t in part.column(at).to_pylist()]), strict=True):
+                for more, ids in zip(extra, own.encode(texts), strict=True):
                     ids += end
                     tokens, start = len(ids) // 4, 0
                     for size in cut(tokens):
