@@ -6,17 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Rules of the document model that results depend on.
-BODY_RATIO_HEADING = 1.15
 CAPTION_FIGURE = r"(?i)^(Figure|Fig\.)\s*[0-9]+"
 CAPTION_TABLE = r"(?i)^Table\s*[0-9]+"
-FOOTNOTE_MARKER = r"^([0-9]{1,2}[.\s]|[*†‡§¶]\s?)"
 ENTRY_LABEL = r"^\s*\[([0-9]{1,3})\]\s"
-CITATION_GROUP = r"\[\s*([0-9]{1,3}(?:\s*[,;\x{2013}-]\s*[0-9]{1,3})*)\s*\]"
-AUTHOR_YEAR = r"\(([A-Z][A-Za-z'\-]+)(?:\s+(?:et al\.|and\s+[A-Z][A-Za-z'\-]+|&\s*[A-Z][A-Za-z'\-]+))?,?\s+((?:19|20)[0-9]{2}[a-z]?)\)"
-NUMBERED_HEADING = r"^([0-9]+(?:\.[0-9]+)*)[.\s]"
-BIBLIOGRAPHY_HEADING = r"(?i)^(References|Bibliography|Works Cited)\s*:?\s*$"
-ABSTRACT_HEADING = r"(?i)^Abstract\s*:?\s*$"
-EQUATION_NUMBER = r"^\([0-9]{1,3}\)$"
 CLOSERS = r"""["'\)\]\}\x{201D}\x{2019}\s]+$"""
 #: The ten characters that LaTeX reserves, and how each is written.
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
@@ -26,11 +18,13 @@ def cleanup(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(c, F.lit("\x02"), F.lit(" ")), r"\s+", " "))
 
 
-def normalised(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+def tokens(c: Column) -> Column:
+    """Runs of letters, digits and underscores of any script, in lower case."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda t: t != "")
 
 
-def tokens(c: Column) -> Column:
+def ascii_tokens(c: Column) -> Column:
+    """Runs of a-z and 0-9 in lower case; other characters part them."""
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda t: t != "")
 
 
@@ -56,9 +50,15 @@ def hyphen_join(a: Column, b: Column) -> Column:
 
 def latex_escape(c: Column) -> Column:
     """Reserved characters by their commands, line ends and tabs by spaces; other control characters go."""
-    plain = F.regexp_replace(F.regexp_replace(c, r"[\r\n\t]", " "), r"[\x00-\x1F\x7F]", "")
-    table = F.create_map(*[F.lit(x) for pair in LATEX.items() for x in pair])
-    return F.array_join(F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+    plain = F.regexp_replace(F.translate(c, "\r\n\t", "   "), r"[\x00-\x1F\x7F-\x9F]", "")
+    # The backslash stands aside as a control character, so that what others become is not escaped again.
+    plain = F.replace(plain, F.lit("\\"), F.lit("\x01"))
+    for char in "{}":
+        plain = F.replace(plain, F.lit(char), F.lit(LATEX[char]))
+    plain = F.replace(plain, F.lit("\x01"), F.lit(LATEX["\\"]))
+    for char in "&%$#_~^":
+        plain = F.replace(plain, F.lit(char), F.lit(LATEX[char]))
+    return plain
 
 
 def stable_id(*parts: Column) -> Column:

@@ -20,15 +20,3 @@ def claim_order(jobs: DataFrame, by: str) -> DataFrame:
     """Queued jobs of each workspace, oldest first, then by id."""
     w = Window.partitionBy(by).orderBy("created", "job_id")
     return jobs.where("status = 'queued'").withColumn("position", F.row_number().over(w).cast("long"))
-
-
-def alive(beats: DataFrame, by: str, now) -> DataFrame:
-    last = beats.groupBy(by).agg(F.max("beat").alias("last"))
-    return last.withColumn("alive", F.coalesce(F.unix_seconds(F.lit(now)) - F.unix_seconds(F.col("last").cast("timestamp")) <= ALIVE_SECONDS, F.lit(False)))
-
-
-def valid_stages(records: DataFrame) -> DataFrame:
-    """A stage's record is valid if it is completed, its version and hash are right, and so are all stages before it."""
-    w = Window.partitionBy("doc_id").orderBy("stage").rowsBetween(Window.unboundedPreceding, 0)
-    own = (F.col("status") == "completed") & (F.col("version") == F.col("expected_version")) & (F.col("hash") == F.col("expected_hash"))
-    return records.withColumn("valid", F.bool_and(F.coalesce(own, F.lit(False))).over(w))

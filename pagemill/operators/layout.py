@@ -59,18 +59,20 @@ def row_clusters(spans: DataFrame) -> DataFrame:
 
 
 def paragraph_pieces(spans: DataFrame, heading: Column) -> DataFrame:
-    """A piece begins after a gap of over 1.5 lines, at a numbered heading, and after a one-line heading."""
+    """A piece begins after a gap of over 1.5 lines (of the taller of two) before a text, at a numbered heading, and after a one-line heading."""
     w = Window.partitionBy(*PAGE).orderBy("y", "x", "line_no")
-    marked = spans.withColumn("_head", heading).withColumn("_gap", F.col("y") - F.lag(F.col("y") + F.col("h")).over(w)).withColumn("_after", F.lag("_head").over(w))
-    start = F.coalesce((F.col("_gap") > 1.5 * F.col("h")) | F.col("_head") | F.col("_after"), F.lit(True))
-    return islands(marked, PAGE, ["y", "x", "line_no"], start, "piece").drop("_head", "_gap", "_after")
+    marked = spans.withColumn("_head", heading).withColumn("_gap", F.col("y") - F.lag(F.col("y") + F.col("h")).over(w)).withColumn("_h", F.lag("h").over(w)).withColumn("_after", F.lag("_head").over(w))
+    far = (F.col("_gap") > 1.5 * F.greatest("h", "_h", F.lit(1.0))) & (F.trim("text") != "")
+    start = F.when(F.col("_gap").isNull(), True).otherwise(far | F.col("_head") | F.col("_after"))
+    return islands(marked, PAGE, ["y", "x", "line_no"], start, "piece").drop("_head", "_gap", "_after", "_h")
 
 
 def numeric_runs(spans: DataFrame) -> DataFrame:
-    """Runs of spans flush left and right within 2.5, at most 3 heights apart, of 3 rows or more, half of which end in a number."""
+    """Runs of spans flush left and right within 2.5, at most 3 heights (of the taller of two) apart, of 3 rows or more, half of which end in a number."""
     w = Window.partitionBy(*PAGE).orderBy("y", "x", "line_no")
-    marked = spans.withColumn("_l", F.lag("x").over(w)).withColumn("_r", F.lag(F.col("x") + F.col("w")).over(w)).withColumn("_b", F.lag(F.col("y") + F.col("h")).over(w))
-    flush = (F.abs(F.col("x") - F.col("_l")) <= 2.5) & (F.abs(F.col("x") + F.col("w") - F.col("_r")) <= 2.5) & (F.col("y") - F.col("_b")).between(F.lit(0.0), 3 * F.col("h"))
+    marked = spans.withColumn("_l", F.lag("x").over(w)).withColumn("_r", F.lag(F.col("x") + F.col("w")).over(w)).withColumn("_b", F.lag(F.col("y") + F.col("h")).over(w)).withColumn("_h", F.lag("h").over(w))
+    tall = F.greatest("h", "_h", F.lit(1.0))
+    flush = (F.abs(F.col("x") - F.col("_l")) <= 2.5) & (F.abs(F.col("x") + F.col("w") - F.col("_r")) <= 2.5) & (F.col("y") - F.col("_b")).between(F.lit(0.0), 3 * tall)
     runs = islands(marked, PAGE, ["y", "x", "line_no"], ~F.coalesce(flush, F.lit(False)), "run")
     tail = F.col("text").rlike(r"[\p{Nd}.,%]+\)?\s*$").cast("long")
     return runs.groupBy(*PAGE, "run").agg(F.count("*").alias("n_rows"), F.sum(tail).alias("n_numeric"), F.min("y").alias("top")).where("n_rows >= 3 AND 2 * n_numeric >= n_rows")
@@ -95,20 +97,3 @@ def chains(edges: DataFrame, pieces: DataFrame) -> DataFrame:
     rows = pieces.select("doc_id", "pos").join(into, ["doc_id", "pos"], "left")
     rows = rows.withColumn("chain", F.sum(F.col("into").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("doc_id", "chain").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_pieces"), F.min("into").alias("confidence")).where("n_pieces > 1").drop("chain")
-
-
-def reading_edges(spans: DataFrame) -> DataFrame:
-    """Each span to the next in (page, y rounded to fours, x) order, with the reason of the step."""
-    key = [F.col("page"), F.bround(F.col("y") / 4) * 4, F.col("x"), F.col("line_no")]
-    w = Window.partitionBy("doc_id").orderBy(*key)
-    rows = spans.withColumn("target", F.lead("line_no").over(w)).withColumn("_p", F.lead("page").over(w)).withColumn("_y", F.lead("y").over(w)).where("target IS NOT NULL")
-    reason = F.when(F.col("_p") != F.col("page"), "NEXT_PAGE").when(F.col("_y") - F.col("y") - F.col("h") > STRIP_GAP, "NEXT_BAND").otherwise("SAME_COLUMN")
-    return rows.select("doc_id", F.col("line_no").alias("source"), "target", reason.alias("reason"))
-
-
-def bands(strips_: DataFrame, page_width: float) -> DataFrame:
-    """Strips by mode: FULL_WIDTH from 0.6 of the page's width where the document has a narrow strip too, else SINGLE_COLUMN."""
-    rows = strips_.groupBy("doc_id", "page", "strip").agg(F.min("y").alias("y_start"), F.max(F.col("y") + F.col("h")).alias("y_end"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("width"))
-    narrow = F.max((F.col("width") < 0.5 * page_width).cast("int")).over(Window.partitionBy("doc_id")) == 1
-    mode = F.when(narrow & (F.col("width") >= 0.6 * page_width), "FULL_WIDTH").otherwise("SINGLE_COLUMN")
-    return rows.withColumn("mode", mode)

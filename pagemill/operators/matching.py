@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as T
+from .walk import walk
 
 # Fixed values of the matching rules.
 MATCH_IOU, MATCH_CONTAINMENT, SUPPRESS = 0.4, 0.7, 0.7
@@ -62,48 +63,6 @@ def first_of(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def greedy_pairs(scored: pd.DataFrame) -> pd.DataFrame:
-    """One to one, best score first; of equal scores the smaller ids."""
-    left, right, out = set(), set(), []
-    for r in scored.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-        if r.a not in left and r.b not in right:
-            left.add(r.a)
-            right.add(r.b)
-            out.append((r.page, r.a, r.b, r.score))
-    return pd.DataFrame(out, columns=["page", "a", "b", "score"])
-
-
-def assign_one_to_one(scored: DataFrame) -> DataFrame:
-    """page, a, b, score of a greedy matching in each page. What is taken depends on what was taken before, so each page is one Python call."""
-    return scored.select("page", "a", "b", "score").groupBy("page").applyInPandas(greedy_pairs, "page long, a long, b long, score double")
-
-
-#: Distance within which clusters of graphics merge.
-CLUSTER_GAP = 12.0
-
-
-def clusters(boxes: pd.DataFrame) -> pd.DataFrame:
-    """Boxes whose cluster boxes lie within CLUSTER_GAP of each other, merged until nothing changes."""
-    gap = CLUSTER_GAP
-    found = [[r.x, r.y, r.x + r.w, r.y + r.h, [r.box_id]] for r in boxes.sort_values("box_id").itertuples()]
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(found)):
-            for j in range(len(found) - 1, i, -1):
-                a, b = found[i], found[j]
-                if a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]:
-                    found[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]]
-                    del found[j]
-                    changed = True
-    page = int(boxes["page"].iloc[0])
-    return pd.DataFrame([(page, min(c[4]), len(c[4]), c[0], c[1], c[2] - c[0], c[3] - c[1]) for c in found], columns=["page", "cluster", "n_boxes", "x", "y", "w", "h"])
-
-
-def cluster_boxes(boxes: DataFrame) -> DataFrame:
-    return boxes.select("page", "box_id", "x", "y", "w", "h").groupBy("page").applyInPandas(clusters, "page long, cluster long, n_boxes long, x double, y double, w double, h double")
-
-
 #: Share of the smaller set of words from which two texts overlap.
 TEXT_OVERLAP = 0.5
 
@@ -130,3 +89,40 @@ def text_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     both = met.join(left.select("a", F.col("words").alias("wa")), "a").join(right.select("b", F.col("words").alias("wb")), "b")
     share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
     return both.withColumn("overlap", share).where(F.col("overlap") >= TEXT_OVERLAP).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+# Captions of figures and tables. Distance, overlap and width that end a pairing, and what each measure weighs.
+CAPTION_DISTANCE, CAPTION_OVERLAP, CAPTION_WIDEST, CAPTION_WIDE, CAPTION_FONT, CAPTION_LEAST = 60.0, 0.4, 2.5, 1.1, 1.15, 0.6
+CAPTION_WEIGHTS = {"distance": 0.35, "side": 0.2, "overlap": 0.25, "width": 0.1, "font": 0.1}
+
+
+def _best_first(rows: list[dict]):
+    """One to one, in the given order."""
+    left, right = set(), set()
+    for r in rows:
+        if r["a"] not in left and r["b"] not in right:
+            left.add(r["a"])
+            right.add(r["b"])
+            yield r["page"], r["a"], r["b"], r["score"]
+
+
+def captions(regions: DataFrame) -> DataFrame:
+    """regions: page, box_id, kind, label, text, font, x, y, w, h. page, caption, main, score: captions and what they caption, the best first, one to one.
+
+    A caption is a text that is labelled or begins as one; one that names a figure does not caption a table, nor the other way round.
+    """
+    kind = T.caption_kind(F.trim("text"))
+    rows = regions.withColumn("named", kind)
+    a = prefixed(rows.where((F.col("kind") == "TEXT") & ((F.col("label") == "CAPTION_LIKE") | kind.isNotNull())), "a_")
+    b = prefixed(rows.where(F.col("kind").isin("FIGURE", "TABLE")), "b_")
+    below, above = F.col("a_y") - F.col("b_y") - F.col("b_h"), F.col("b_y") - F.col("a_y") - F.col("a_h")
+    distance = F.when(below >= 0, below).when(above >= 0, above)
+    side = F.when(below >= 0, F.col("b_kind") == "FIGURE").otherwise(F.col("b_kind") == "TABLE")
+    overlap, ratio = G.x_overlap("a_", "b_"), F.when(F.col("b_w") > 0, F.col("a_w") / F.col("b_w")).otherwise(0.0)
+    font = (F.col("b_font") <= 0) | (F.col("a_font") <= 0) | (F.col("a_font") <= CAPTION_FONT * F.col("b_font"))
+    w = CAPTION_WEIGHTS
+    score = w["distance"] * (1 - distance / CAPTION_DISTANCE) + F.when(side, w["side"]).otherwise(0.0) + w["overlap"] * overlap + F.when(ratio <= CAPTION_WIDE, w["width"]).otherwise(0.0) + F.when(font, w["font"]).otherwise(0.0)
+    fits = (distance <= CAPTION_DISTANCE) & (overlap >= CAPTION_OVERLAP) & (ratio <= CAPTION_WIDEST) & (F.col("a_named").isNull() | (F.col("a_named") == F.col("b_kind")))
+    scored = a.join(b, "page").where(fits).select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round(score, 9).alias("score"), (-F.round(score, 9)).alias("worse")).where(F.col("score") >= CAPTION_LEAST)
+    found = walk(scored, ["page"], ["worse", "a", "b"], _best_first, "page long, a long, b long, score double")
+    return found.select("page", F.col("a").alias("caption"), F.col("b").alias("main"), F.round("score", 4).alias("score"))

@@ -28,20 +28,6 @@ def in_order(value: str, *order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda s: s["_v"])
 
 
-def cell_text(cells: Column) -> Column:
-    """The first cells between bars, with an ellipsis where there are more."""
-    shown = F.array_join(F.slice(cells, 1, SHOWN_CELLS), " | ")
-    return F.when(F.size(cells) > SHOWN_CELLS, F.concat(shown, F.lit(" …"))).otherwise(shown)
-
-
-def neighbours(rows: DataFrame, by: list[str], order: str, text: str, reach: int) -> DataFrame:
-    """rows with before and after: CONTEXT characters of neighbouring texts; reach is the number of rows that are sure to hold as many."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.array_join(F.collect_list(text).over(w.rowsBetween(-reach, -1)), " ")
-    after = F.array_join(F.collect_list(text).over(w.rowsBetween(1, reach)), " ")
-    return rows.withColumn("before", F.right(before, F.lit(CONTEXT))).withColumn("after", F.left(after, F.lit(CONTEXT)))
-
-
 def same_multiset(tokens: DataFrame, by: str, side: str) -> DataFrame:
     """by, same: whether each token is found as often where side is true as where it is false."""
     counts = tokens.groupBy(by, "token").agg(F.sum(F.when(F.col(side), 1).otherwise(-1)).alias("_d"))

@@ -32,11 +32,11 @@ def ancestor_counts(spark, sf):
     return rows.groupBy(F.col("path")[1].alias("region")).agg(F.count("*").alias("n_descendants"))
 
 
-_HEADS = "heads AS (SELECT l_suppkey AS doc, l_orderkey AS pos, (min(l_linenumber) % 3 + 1)::BIGINT AS level FROM lineitem WHERE l_quantity < 6 GROUP BY 1, 2)"
+_HEADS = "heads AS (SELECT l_suppkey AS doc, l_orderkey AS pos, (min(l_linenumber) % 3 + 1)::BIGINT AS level FROM lineitem GROUP BY 1, 2)"
 
 
 def _heads(spark, sf):
-    rows = D.table(spark, sf, "lineitem").where("l_quantity < 6").groupBy(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("pos"))
+    rows = D.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("pos"))
     return rows.agg((F.min("l_linenumber") % 3 + 1).cast("long").alias("level"))
 
 
@@ -47,7 +47,7 @@ def level_jumps(spark, sf):
 
 @query(f"WITH {_HEADS} SELECT h.doc, h.pos, h.level, max(b.pos) AS parent FROM heads h LEFT JOIN heads b ON b.doc = h.doc AND b.pos < h.pos AND b.level < h.level GROUP BY h.doc, h.pos, h.level")
 def section_stack(spark, sf):
-    return R.section_parents(_heads(spark, sf), ["doc"], "pos")
+    return R.section_parents(_heads(spark, sf), ["doc"], "pos", deepest=4)
 
 
 @query("""WITH f AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_returnflag = 'R' AS entry FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
@@ -122,22 +122,6 @@ def job_counts(spark, sf):
     return J.status_counts(_jobs(spark, sf)).select("status", "n", F.unix_seconds(F.col("oldest").cast("timestamp")).alias("oldest"))
 
 
-@query("WITH b AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, floor(epoch(last))::BIGINT AS last, floor(epoch((SELECT max(ts) FROM events)))::BIGINT - floor(epoch(last))::BIGINT <= 86400 AS alive FROM b")
-def heartbeat_alive(spark, sf):
-    events = D.table(spark, sf, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    last = events.groupBy("user_id").agg(F.max("t").alias("last"))
-    now = events.agg(F.max("t").alias("now"))
-    return last.crossJoin(F.broadcast(now)).select("user_id", "last", (F.col("now") - F.col("last") <= 86400).alias("alive"))  # one row
-
-
-@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS stage, min(l_linestatus) = 'F' AND min(l_quantity) > 3 AS ok FROM lineitem GROUP BY 1, 2)
-SELECT doc_id, stage::BIGINT AS stage, bool_and(ok) OVER (PARTITION BY doc_id ORDER BY stage) AS valid FROM r""")
-def stage_cache(spark, sf):
-    rows = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("stage")).agg(F.min("l_linestatus").alias("_s"), F.min("l_quantity").alias("_q"))
-    records = rows.select("doc_id", "stage", F.when(F.col("_s") == "F", "completed").otherwise("failed").alias("status"), F.lit(1).alias("version"), F.lit(1).alias("expected_version"), (F.col("_q") > 3).alias("hash"), F.lit(True).alias("expected_hash"))
-    return J.valid_stages(records).select("doc_id", "stage", "valid")
-
-
 @query("""WITH cells AS (SELECT p_partkey AS t, (p_size % 3)::BIGINT AS r, (p_size % 4)::BIGINT AS c, (1 + p_size % 2)::BIGINT AS span, p_brand AS txt FROM part),
 grid AS (SELECT t, r, unnest(range(0, 6)) AS col FROM cells)
 SELECT g.t, g.r, g.col, CASE WHEN g.col = c.c THEN CASE WHEN c.span > 1 THEN '\\multicolumn{' || c.span || '}{' || c.txt || '}' ELSE c.txt END WHEN g.col > c.c AND g.col < c.c + c.span THEN '{}' ELSE '' END AS cell FROM grid g JOIN cells c ON c.t = g.t""".replace("\\\\", "\\"))
@@ -161,17 +145,3 @@ def relation_adjacency(spark, sf):
     rows = D.tree(spark, sf).where("parent IS NOT NULL")
     both = F.array(F.struct(F.col("node").alias("node"), F.lit("child").alias("role")), F.struct(F.col("parent").alias("node"), F.lit("parent").alias("role")))
     return rows.select(F.explode(both).alias("x")).select("x.*")
-
-
-@query("""SELECT o_custkey AS host, o_orderkey AS node, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS fragment FROM orders""")
-def bibliography_fragments(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return D.table(spark, sf, "orders").select(F.col("o_custkey").alias("host"), F.col("o_orderkey").alias("node"), F.sum((F.col("o_orderstatus") == "F").cast("int")).over(w).alias("fragment"))
-
-
-@query("SELECT kind, count(*) AS n, round(avg(CASE WHEN bound THEN 1 ELSE 0 END), 6) AS coverage FROM (SELECT n_regionkey::BIGINT AS kind, EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n_nationkey) AS bound FROM nation) GROUP BY kind")
-def mapping_coverage(spark, sf):
-    nation = D.table(spark, sf, "nation")
-    bound = D.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("bound")).distinct()
-    rows = nation.join(bound, "n_nationkey", "left")
-    return rows.groupBy(F.col("n_regionkey").cast("long").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("bound"), F.lit(False)).cast("int")), 6).alias("coverage"))

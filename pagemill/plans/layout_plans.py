@@ -46,12 +46,6 @@ def strip_islands(spark, sf):
     return L.strips(D.spans(spark, sf)).groupBy("doc_id", "page", "strip").agg(F.count("*").alias("n_spans"), F.min("y").alias("y_start"), F.max(F.col("y") + F.col("h")).alias("y_end"))
 
 
-@query(f"""WITH {D.SPANS}, {_STRIP}, b AS (SELECT doc_id, page, strip, min(y) AS y_start, max(y + h) AS y_end, max(x + w) - min(x) AS width FROM strips GROUP BY ALL)
-SELECT *, CASE WHEN bool_or(width < 280) OVER (PARTITION BY doc_id) AND width >= 336 THEN 'FULL_WIDTH' ELSE 'SINGLE_COLUMN' END AS mode FROM b""")
-def band_modes(spark, sf):
-    return L.bands(L.strips(D.spans(spark, sf)), D.PAGE_WIDTH)
-
-
 @query(f"""WITH {D.SPANS}, t AS (SELECT *, lag(y) OVER w AS py, lag(h) OVER w AS ph FROM d_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, line_no)),
 v AS (SELECT doc_id, page, sum(CASE WHEN abs(y - py) <= 0.4 * greatest(h, ph) OR least(y + h, py + ph) > greatest(y, py) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no)::BIGINT AS visual_line FROM t)
 SELECT doc_id, page, max(visual_line) AS n_lines, count(*) AS n_spans FROM v GROUP BY doc_id, page""")
@@ -66,16 +60,16 @@ def row_clusters(spark, sf):
     return L.row_clusters(D.spans(spark, sf)).groupBy("doc_id", "page", "row_no").agg(F.count("*").alias("n_spans"), F.min("line_no").alias("first_line"))
 
 
-@query(f"""WITH {D.SPANS}, t AS (SELECT *, lag(x) OVER w AS l, lag(x + w) OVER w AS r, lag(y + h) OVER w AS b FROM d_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, line_no)),
-v AS (SELECT *, sum(CASE WHEN abs(x - l) <= 2.5 AND abs(x + w - r) <= 2.5 AND y - b BETWEEN 0 AND 3 * h THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no)::BIGINT AS run FROM t)
+@query(f"""WITH {D.SPANS}, t AS (SELECT *, lag(x) OVER w AS l, lag(x + w) OVER w AS r, lag(y + h) OVER w AS b, lag(h) OVER w AS ph FROM d_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, line_no)),
+v AS (SELECT *, sum(CASE WHEN abs(x - l) <= 2.5 AND abs(x + w - r) <= 2.5 AND y - b BETWEEN 0 AND 3 * greatest(h, ph, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no)::BIGINT AS run FROM t)
 SELECT doc_id, page, run, count(*) AS n_rows, count(*) FILTER (regexp_matches(text, '[\\p{{Nd}}.,%]+\\)?\\s*$')) AS n_numeric, min(y) AS top FROM v GROUP BY doc_id, page, run HAVING count(*) >= 3 AND 2 * n_numeric >= n_rows""")
 def numeric_row_runs(spark, sf):
     return L.numeric_runs(D.spans(spark, sf))
 
 
-@query(f"""WITH {D.SPANS}, t AS (SELECT *, regexp_matches(text, '^[A-Z !,]+$') AS head, lag(y + h) OVER w AS b FROM d_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, line_no)),
+@query(f"""WITH {D.SPANS}, t AS (SELECT *, regexp_matches(text, '^[A-Z !,]+$') AS head, lag(y + h) OVER w AS b, lag(h) OVER w AS ph FROM d_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, line_no)),
 u AS (SELECT *, lag(head) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no) AS after FROM t),
-v AS (SELECT *, sum(CASE WHEN b IS NULL OR y - b > 1.5 * h OR head OR after THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no)::BIGINT AS piece FROM u)
+v AS (SELECT *, sum(CASE WHEN b IS NULL OR (y - b > 1.5 * greatest(h, ph, 1) AND trim(text, ' ') <> '') OR head OR after THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, x, line_no)::BIGINT AS piece FROM u)
 SELECT doc_id, page, piece, count(*) AS n_lines, sha256(trim(regexp_replace(string_agg(text, ' ' ORDER BY y, x, line_no), '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g'), ' ')) AS text_sha FROM v GROUP BY doc_id, page, piece""")
 def paragraph_pieces(spark, sf):
     rows = L.paragraph_pieces(D.spans(spark, sf), F.col("text").rlike("^[A-Z !,]+$"))
@@ -83,12 +77,6 @@ def paragraph_pieces(spark, sf):
     return rows.groupBy("doc_id", "page", "piece").agg(F.count("*").alias("n_lines"), F.sha2(T.cleanup(text), 256).alias("text_sha"))
 
 
-@query(f"""WITH {D.SPANS}, t AS (SELECT *, lead(line_no) OVER w AS target, lead(page) OVER w AS np, lead(y) OVER w AS ny FROM d_spans WINDOW w AS (PARTITION BY doc_id ORDER BY page, round_even(y / 4, 0) * 4, x, line_no))
-SELECT doc_id, line_no AS source, target, CASE WHEN np <> page THEN 'NEXT_PAGE' WHEN ny - y - h > 9 THEN 'NEXT_BAND' ELSE 'SAME_COLUMN' END AS reason FROM t WHERE target IS NOT NULL""")
-def reading_edges(spark, sf):
-    return L.reading_edges(D.spans(spark, sf))
-
-
 _EDGES = f"""{D.PIECES}, n AS (SELECT *, lead(pos) OVER w AS next_pos, lead(text) OVER w AS next_text, regexp_replace(trim(text, ' '), '["''\\)\\]\\}}\\x{{201D}}\\x{{2019}}\\s]+$', '') AS tail FROM d_cand WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 edges AS (SELECT doc_id, pos, next_pos, least(score, 95) / 100.0::DOUBLE AS confidence FROM (SELECT *, 45 + CASE WHEN regexp_matches(trim(next_text, ' '), '^\\p{{Ll}}') THEN 25 ELSE 0 END + CASE WHEN length(text) >= 170 THEN 15 ELSE 0 END AS score FROM n)
   WHERE next_pos IS NOT NULL AND tail <> '' AND NOT regexp_matches(tail, '[.!?:]$') AND score >= 60)"""
@@ -117,22 +105,6 @@ def _probe(spark, sf):
     return pages.groupBy("doc_id").agg(F.round(F.avg((F.col("chars") >= 20).cast("int")), 6).alias("native_ratio"), F.round(F.when(F.sum("chars") > 0, F.sum("math") / F.sum("chars")).otherwise(0.0), 6).alias("math_density"))
 
 
-@query(f"WITH {D.SPANS}, {_PROBE} SELECT * FROM probe")
-def document_probe(spark, sf):
-    return _probe(spark, sf)
-
-
-@query(f"""WITH {D.SPANS}, {_PROBE}
-SELECT doc_id, 'layout' AS provider, CASE WHEN math_density >= 0.05 THEN 'layout.region,formula.detection' ELSE 'layout.region' END AS capabilities FROM probe WHERE native_ratio > 0
-UNION ALL SELECT doc_id, 'scholarly', 'scholarly.metadata,scholarly.bibliography' FROM probe WHERE native_ratio > 0 UNION ALL SELECT doc_id, 'refused', 'no native text layer' FROM probe WHERE native_ratio = 0""")
-def routing_plan(spark, sf):
-    layout = F.struct(F.lit("layout").alias("provider"), F.when(F.col("math_density") >= 0.05, "layout.region,formula.detection").otherwise("layout.region").alias("capabilities"))
-    scholarly = F.struct(F.lit("scholarly").alias("provider"), F.lit("scholarly.metadata,scholarly.bibliography").alias("capabilities"))
-    refused = F.struct(F.lit("refused").alias("provider"), F.lit("no native text layer").alias("capabilities"))
-    plan = F.when(F.col("native_ratio") > 0, F.array(layout, scholarly)).otherwise(F.array(refused))
-    return _probe(spark, sf).select("doc_id", F.explode(plan).alias("p")).select("doc_id", "p.*")
-
-
 @query(f"WITH {D.SPANS} SELECT doc_id, bool_or(chars >= 20) AS usable FROM (SELECT doc_id, page, sum(length(trim(text, ' '))) AS chars FROM d_spans GROUP BY doc_id, page) GROUP BY doc_id")
 def text_admission(spark, sf):
     pages = D.spans(spark, sf).groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"))

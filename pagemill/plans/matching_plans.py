@@ -53,26 +53,6 @@ def structured_suppress(spark, sf):
     return M.suppressed(D.boxes(spark, sf))
 
 
-@query(f"WITH {D.BOXES} SELECT page, box_id, round(w * h, 4) AS area FROM d_boxes WHERE x <= 120 AND x + w >= 120 AND y <= 60 AND y + h >= 60 QUALIFY row_number() OVER (PARTITION BY page ORDER BY round(w * h, 4), box_id) = 1")
-def hit_test(spark, sf):
-    rows = D.boxes(spark, sf).where("x <= 120 AND x + w >= 120 AND y <= 60 AND y + h >= 60").select("page", "box_id", F.round(F.col("w") * F.col("h"), 4).alias("area"))
-    return M.first_of(rows, ["page"], "area", "box_id")
-
-
-@query(f"WITH {D.BOXES} SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY y, box_id)::BIGINT AS position FROM d_boxes WHERE y <= 120 AND y + h >= 80")
-def band_query(spark, sf):
-    w = Window.partitionBy("page").orderBy("y", "box_id")
-    return D.boxes(spark, sf).where("y <= 120 AND y + h >= 80").select("page", "box_id", F.row_number().over(w).cast("long").alias("position"))
-
-
-@query(f"""WITH {D.BOXES} SELECT a.page, a.box_id, b.box_id AS counterpart FROM d_boxes a JOIN d_boxes b ON a.page = b.page AND a.label = b.label AND a.box_id <> b.box_id
-QUALIFY row_number() OVER (PARTITION BY a.page, a.box_id ORDER BY round(abs(a.y - b.y), 4), b.box_id) = 1""")
-def counterpart_pick(spark, sf):
-    b = D.boxes(spark, sf)
-    rows = M.prefixed(b, "a_").join(M.prefixed(b, "b_"), "page").where("a_label = b_label AND a_box_id <> b_box_id").withColumn("far", F.round(F.abs(F.col("a_y") - F.col("b_y")), 4))
-    return M.first_of(rows, ["page", "a_box_id"], "far", "b_box_id").select("page", F.col("a_box_id").alias("box_id"), F.col("b_box_id").alias("counterpart"))
-
-
 @query(f"""WITH {D.BOXES}, o AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY box_id) AS t, row_number() OVER (PARTITION BY page ORDER BY y, x, box_id) AS f FROM d_boxes)
 SELECT a.page, count(*) AS n_pairs, round(avg(CASE WHEN a.f < b.f THEN 1 ELSE 0 END), 6) AS accuracy, bool_and(a.f < b.f) AS exact FROM o a JOIN o b ON a.page = b.page AND a.t < b.t GROUP BY a.page""")
 def pairwise_order(spark, sf):
@@ -113,12 +93,6 @@ def calibration_monotonic(spark, sf):
     return rows.agg(F.coalesce(F.bool_and(F.col("accuracy") <= F.col("next") + 0.05), F.lit(True)).alias("monotonic"))
 
 
-@query("""SELECT quality::BIGINT AS quality, count(*) AS total, count(*) FILTER (toxic = 0) AS matched, round(count(*) FILTER (toxic = 0) / count(*), 6) AS recall FROM labels GROUP BY quality""")
-def label_recall(spark, sf):
-    matched = F.count(F.when(F.col("toxic") == 0, 1))
-    return D.table(spark, sf, "labels").groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("total"), matched.alias("matched"), F.round(matched / F.count("*"), 6).alias("recall"))
-
-
 @query(f"""WITH {D.BOXES}, s AS (SELECT page, 0 AS col, min(x + w / 2) AS seed FROM d_boxes GROUP BY page UNION ALL SELECT page, 1, max(x + w / 2) FROM d_boxes GROUP BY page)
 SELECT b.page, b.box_id, s.col::BIGINT AS col FROM d_boxes b JOIN s USING (page) QUALIFY row_number() OVER (PARTITION BY b.page, b.box_id ORDER BY round(abs(b.x + b.w / 2 - s.seed), 6), s.col) = 1""")
 def nearest_column(spark, sf):
@@ -128,41 +102,3 @@ def nearest_column(spark, sf):
     rows = b.join(seeds, "page")
     far = lambda c: F.round(F.abs(centre - F.col(c)), 6)
     return rows.select("page", "box_id", F.when(far("left") <= far("right"), 0).otherwise(1).cast("long").alias("col"))
-
-
-@query(f"WITH {D.BOXES} SELECT page, box_id FROM d_boxes WHERE label <> 'TEXT' AND w >= 2 AND h >= 2 AND NOT (h < 22 AND w > 90)")
-def graphic_filter(spark, sf):
-    return D.boxes(spark, sf).where("label <> 'TEXT' AND w >= 2 AND h >= 2 AND NOT (h < 22 AND w > 90)").select("page", "box_id")
-
-
-@query()
-def caption_greedy(spark, sf):
-    """Captions (text boxes) to figures and tables: distance, side, overlap, width and size weighed; best first, one to one."""
-    b = D.boxes(spark, sf)
-    rows = M.prefixed(b.where("label = 'TEXT'"), "a_").join(M.prefixed(b.where("label <> 'TEXT'"), "b_"), "page")
-    below, above = F.col("a_y") - F.col("b_y") - F.col("b_h"), F.col("b_y") - F.col("a_y") - F.col("a_h")
-    distance = F.when(below >= 0, below).when(above >= 0, above)
-    side = F.when(below >= 0, F.col("b_label") == "FIGURE").otherwise(F.col("b_label") == "TABLE").cast("int")
-    ratio = F.col("a_w") / F.col("b_w")
-    score = 0.35 * (1 - distance / 60) + 0.2 * side + 0.25 * G.x_overlap("a_", "b_") + F.when(ratio <= 1.6, 0.1).otherwise(0.0) + 0.1
-    fits = (distance <= 60) & (G.x_overlap("a_", "b_") >= 0.4) & (ratio <= 2.5)
-    return M.assign_one_to_one(rows.where(fits).select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round(score, 6).alias("score")).where("score >= 0.6"))
-
-
-@query()
-def truth_greedy(spark, sf):
-    return M.assign_one_to_one(_scored(spark, sf).where("a_label = b_label").select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round("score", 6).alias("score")).where("score >= 0.5"))
-
-
-@query()
-def graphic_fixpoint(spark, sf):
-    return M.cluster_boxes(D.boxes(spark, sf).where("label <> 'TEXT'"))
-
-
-@query("""WITH a AS (SELECT n_nationkey AS k, n_name AS name FROM nation), base AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY 1), now AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 4) AS v FROM supplier GROUP BY 1)
-SELECT coalesce(b.k, n.k)::BIGINT AS k, CASE WHEN n.v IS NULL THEN 'REGRESSED' WHEN b.v IS NULL OR n.v > b.v + 0.001 THEN 'improved' WHEN n.v < b.v - 0.001 THEN 'REGRESSED' ELSE 'unchanged' END AS verdict FROM base b FULL JOIN now n ON b.k = n.k""")
-def baseline_compare(spark, sf):
-    base = D.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.round(F.avg("c_acctbal"), 4).alias("b"))
-    now = D.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.round(F.avg("s_acctbal"), 4).alias("n"))
-    verdict = F.when(F.col("n").isNull(), "REGRESSED").when(F.col("b").isNull() | (F.col("n") > F.col("b") + 0.001), "improved").when(F.col("n") < F.col("b") - 0.001, "REGRESSED").otherwise("unchanged")
-    return base.join(now, "k", "full_outer").select("k", verdict.alias("verdict"))

@@ -36,21 +36,6 @@ def region_text(spark, sf):
     return _named(spark, sf).groupBy(F.col("l_orderkey").alias("region")).agg(F.sha2(text, 256).alias("text_sha"), F.count("*").alias("n_spans"))
 
 
-@query(f"""WITH {_NAMES}, c AS (SELECT l_suppkey AS node, list(brand ORDER BY l_orderkey, l_linenumber, brand) AS cells FROM lineitem JOIN names ON p_partkey = l_partkey GROUP BY l_suppkey)
-SELECT node, array_to_string(cells[1:20], ' | ') || CASE WHEN len(cells) > 20 THEN ' …' ELSE '' END AS plain FROM c""")
-def node_plain_text(spark, sf):
-    cells = E.in_order("brand", "l_orderkey", "l_linenumber")
-    return _named(spark, sf).groupBy(F.col("l_suppkey").alias("node")).agg(cells.alias("cells")).select("node", E.cell_text(F.col("cells")).alias("plain"))
-
-
-@query(f"""WITH {D.PIECES}, n AS (SELECT doc_id, pos, coalesce(string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS b,
-coalesce(string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS a FROM d_cand) SELECT doc_id, pos, sha256(right(b, 240)) AS before_sha, sha256(left(a, 240)) AS after_sha FROM n""")
-def neighbour_context(spark, sf):
-    # All pieces but a document's last hold 200 characters, so two of them hold a context.
-    rows = E.neighbours(D.pieces(spark, sf), ["doc_id"], "pos", "text", reach=2)
-    return rows.select("doc_id", "pos", F.sha2("before", 256).alias("before_sha"), F.sha2("after", 256).alias("after_sha"))
-
-
 @query("""WITH t AS (SELECT conv_id, role = 'user' AS side, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS token FROM conversations), c AS (SELECT conv_id, token, sum(CASE WHEN side THEN 1 ELSE -1 END) AS d FROM t GROUP BY ALL)
 SELECT conv_id, bool_and(d = 0) AS same FROM c GROUP BY conv_id""")
 def placeholder_equality(spark, sf):
@@ -77,22 +62,6 @@ def overlay_order(spark, sf):
     return D.boxes(spark, sf).select("page", "box_id", F.row_number().over(w).cast("long").alias("position"), pct("x").alias("left_pct"), pct("w").alias("width_pct"))
 
 
-@query(f"""WITH {D.BOXES}, p AS (SELECT *, last_value(CASE WHEN label = 'TEXT' THEN box_id END IGNORE NULLS) OVER (PARTITION BY page ORDER BY box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM d_boxes)
-SELECT page, source, box_id AS target FROM p WHERE label = 'TEXT' AND source < box_id - 1""")
-def interrupted_pairs(spark, sf):
-    """A text region and the text region before it, where others lie between."""
-    w = Window.partitionBy("page").orderBy("box_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = D.boxes(spark, sf).withColumn("source", F.last(F.when(F.col("label") == "TEXT", F.col("box_id")), ignorenulls=True).over(w))
-    return rows.where("label = 'TEXT' AND source < box_id - 1").select("page", "source", F.col("box_id").alias("target"))
-
-
-@query(f"WITH {D.BOXES}, n AS (SELECT page, box_id AS source, lead(box_id) OVER (PARTITION BY page ORDER BY y, x, box_id) AS target FROM d_boxes WHERE label = 'TEXT' AND y >= 100) SELECT *, 0.8::DOUBLE AS confidence FROM n WHERE target IS NOT NULL")
-def footnote_flow(spark, sf):
-    w = Window.partitionBy("page").orderBy("y", "x", "box_id")
-    rows = D.boxes(spark, sf).where("label = 'TEXT' AND y >= 100").select("page", F.col("box_id").alias("source"), F.lead("box_id").over(w).alias("target"))
-    return rows.where("target IS NOT NULL").withColumn("confidence", F.lit(0.8))
-
-
 @query(f"WITH {D.BOXES}, k AS (SELECT page, count(*) FILTER (label = 'TEXT') >= 1 AS t, count(*) FILTER (label = 'FIGURE') >= 1 AS f, count(*) FILTER (label = 'TABLE') >= 2 AS b FROM d_boxes GROUP BY page) SELECT page, round((t::INT + f::INT + b::INT) / 3, 6)::DOUBLE AS score FROM k")
 def expectation_score(spark, sf):
     """The share of expected kinds that a page has in the expected number."""
@@ -108,26 +77,6 @@ def layer_model(spark, sf):
     return D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.when(F.count_distinct("role") == 1, F.min("role")).otherwise(last).alias("model"))
 
 
-@query("SELECT lang, source, max(doc_id) AS doc_id, sha256(arg_max(text, doc_id)) AS content FROM documents WHERE text IS NOT NULL GROUP BY lang, source")
-def cache_last_wins(spark, sf):
-    rows = D.table(spark, sf, "documents").where("text IS NOT NULL")
-    return rows.groupBy("lang", "source").agg(F.max("doc_id").alias("doc_id"), F.sha2(F.max_by("text", "doc_id"), 256).alias("content"))
-
-
-@query("SELECT o_orderkey AS node, 'caption without host' AS rule, 'WARNING' AS severity FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def caption_issues(spark, sf):
-    hosts = D.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("node"))
-    nodes = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"))
-    return nodes.join(hosts, "node", "left_anti").select("node", F.lit("caption without host").alias("rule"), F.lit("WARNING").alias("severity"))
-
-
 @query(f"WITH {D.BOXES} SELECT page, round_even(x, 0)::DOUBLE AS x, round_even(y, 0)::DOUBLE AS y, label, count(*) AS n FROM d_boxes GROUP BY ALL")
 def match_key(spark, sf):
     return D.boxes(spark, sf).groupBy("page", F.bround("x").alias("x"), F.bround("y").alias("y"), "label").agg(F.count("*").alias("n"))
-
-
-@query("SELECT n_nodes, n_tables, CASE WHEN n_nodes = 0 THEN 1 ELSE round(n_tables / n_nodes, 6) END::DOUBLE AS coverage FROM (SELECT count(*) AS n_nodes, count(*) FILTER (c > 1) AS n_tables FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey))")
-def table_coverage(spark, sf):
-    tables = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("c"))
-    rows = tables.agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("c") > 1, 1)).alias("n_tables"))
-    return rows.withColumn("coverage", F.when(F.col("n_nodes") == 0, 1.0).otherwise(F.round(F.col("n_tables") / F.col("n_nodes"), 6)))

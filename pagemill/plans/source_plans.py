@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions import text as T
-from ..operators import matching as M
 from ..sources import adapters as A
 from ..sources import derive as D
 from .layout_plans import _FONT, _ZONED, _zoned
@@ -67,18 +65,6 @@ def furniture_regions(spark, sf):
     return _zoned(spark, sf).where("zone <> 'body'").select("doc_id", "page", "zone", "line_no", F.row_number().over(w).cast("long").alias("position"), F.lit(0.7).alias("confidence"))
 
 
-@query("SELECT p_partkey, nullif(regexp_extract(p_size || '. ' || p_name, '^([0-9]{1,2})[.\\s]', 1), '') AS marker, regexp_matches(p_size || '. ' || p_name, '^([0-9]{1,2}[.\\s]|[*†‡§¶]\\s?)') AS is_footnote FROM part")
-def footnote_markers(spark, sf):
-    text = F.concat(F.col("p_size").cast("string"), F.lit(". "), F.col("p_name"))
-    return D.table(spark, sf, "part").select("p_partkey", F.nullif(F.regexp_extract(text, r"^([0-9]{1,2})[.\s]", 1), F.lit("")).alias("marker"), text.rlike(T.FOOTNOTE_MARKER).alias("is_footnote"))
-
-
-@query("SELECT conv_id, turn, substr(text, turn * 3 + 1, 12) AS slice, length(text) < turn * 3 + 12 AS out_of_range FROM conversations")
-def mark_slices(spark, sf):
-    start = F.col("turn") * 3
-    return D.table(spark, sf, "conversations").select("conv_id", "turn", F.substr("text", (start + 1).cast("int"), F.lit(12)).alias("slice"), (F.length("text") < start + 12).alias("out_of_range"))
-
-
 @query("SELECT conv_id, sha256(concat_ws(chr(10) || chr(10), 'Translate.', max(CASE WHEN role = 'system' THEN text END), arg_min(text, turn) FILTER (role = 'user'))) AS prompt_sha FROM conversations GROUP BY conv_id")
 def prompt_assembly(spark, sf):
     first = F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
@@ -86,12 +72,6 @@ def prompt_assembly(spark, sf):
     return rows.select("conv_id", F.sha2(F.concat_ws("\n\n", F.lit("Translate."), "system", "user"), 256).alias("prompt_sha"))
 
 
-@query("SELECT l_orderkey AS doc, l_partkey AS title FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")
-def document_title(spark, sf):
-    rows = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("title"), "l_linenumber")
-    return M.first_of(rows, ["doc"], "l_linenumber", "title").drop("l_linenumber")
-
-
 @query(f"WITH {D.SPANS}, c AS (SELECT doc_id, page, count(*) AS n FROM d_spans GROUP BY doc_id, page) SELECT doc_id, page AS fullest_page, n AS n_spans FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page) = 1")
 def fullest_page(spark, sf):
     counts = D.spans(spark, sf).groupBy("doc_id", "page").agg(F.count("*").alias("n"))

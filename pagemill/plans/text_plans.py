@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import matching as M
+from ..operators import semantics as S
 from ..sources import derive as D
 from .registry import query
 
@@ -15,12 +16,13 @@ ends AS (SELECT node, trim(part, ' ') AS part, regexp_extract(part, '([0-9]+)',
 nums AS (SELECT DISTINCT node, unnest(CASE WHEN hi >= lo AND hi - lo <= 99 THEN range(lo, hi + 1) ELSE [lo, hi] END) AS number FROM ends)"""
 
 
+def _cited(spark, sf, form: str):
+    rows = D.citing(spark, sf).select(F.lit(0).alias("doc"), "node", "text")
+    return S.citations(rows).where(F.col("form") == form)
+
+
 def _expanded(spark, sf):
-    group = F.regexp_extract("text", T.CITATION_GROUP, 1)
-    rows = D.citing(spark, sf).select("node", F.explode(F.split(group, "[,;]")).alias("part"))
-    rows = rows.select("node", F.regexp_extract("part", "([0-9]+)", 1).cast("long").alias("lo"), F.regexp_extract("part", r"([0-9]+)\s*$", 1).cast("long").alias("hi"))
-    both = F.when((F.col("hi") >= F.col("lo")) & (F.col("hi") - F.col("lo") <= 99), F.sequence("lo", F.greatest("lo", "hi"))).otherwise(F.array("lo", "hi"))
-    return rows.select("node", F.explode(both).alias("number")).distinct()
+    return _cited(spark, sf, "number").select("node", F.col("key").cast("long").alias("number")).distinct()
 
 
 def _labels(spark, sf):
@@ -54,14 +56,11 @@ def citation_rate(spark, sf):
 _AUTHOR = r"\(([A-Z][A-Za-z''\-]+)(?:\s+(?:et al\.|and\s+[A-Z][A-Za-z''\-]+|&\s*[A-Z][A-Za-z''\-]+))?,?\s+((?:19|20)[0-9]{2}[a-z]?)\)"
 
 
-@query(f"""WITH {D.CITING}, {D.ENTRIES}, keys AS (SELECT regexp_extract(text, '[A-Z][A-Za-z''\\-]+', 0) || ':' || regexp_extract(text, '\\b((?:19|20)[0-9]{{2}}[a-z]?)\\b', 1) AS key, min(entry) AS entry FROM d_entries GROUP BY 1),
-c AS (SELECT node, regexp_extract(text, '{_AUTHOR}', 1) || ':' || regexp_extract(text, '{_AUTHOR}', 2) AS key FROM d_cites) SELECT node, key, entry FROM c JOIN keys USING (key)""")
+@query(f"""WITH {D.CITING}, {D.ENTRIES}, keys AS (SELECT lower(regexp_extract(text, '[A-Z][A-Za-z''\\-]+', 0)) || ':' || regexp_extract(text, '\\b((?:19|20)[0-9]{{2}}[a-z]?)\\b', 1) AS key, min(entry) AS entry FROM d_entries GROUP BY 1),
+c AS (SELECT node, lower(regexp_extract(text, '{_AUTHOR}', 1)) || ':' || regexp_extract(text, '{_AUTHOR}', 2) AS key FROM d_cites) SELECT node, key, entry FROM c JOIN keys USING (key)""")
 def author_year_resolve(spark, sf):
-    entries = D.entries(spark, sf)
-    key = F.concat_ws(":", F.regexp_extract("text", r"[A-Z][A-Za-z'\-]+", 0), F.regexp_extract("text", r"\b((?:19|20)[0-9]{2}[a-z]?)\b", 1))
-    keys = entries.groupBy(key.alias("key")).agg(F.min("entry").alias("entry"))
-    cites = D.citing(spark, sf).select("node", F.concat_ws(":", F.regexp_extract("text", T.AUTHOR_YEAR, 1), F.regexp_extract("text", T.AUTHOR_YEAR, 2)).alias("key"))
-    return cites.join(keys, "key").select("node", "key", "entry")
+    entries = D.entries(spark, sf).select(F.lit(0).alias("doc"), F.col("entry").alias("node"), F.col("entry").alias("pos"), "text")
+    return S.resolved(_cited(spark, sf, "author-year"), S.entry_keys(entries)).where("target IS NOT NULL").select("node", "key", F.col("target").alias("entry"))
 
 
 _TERM = r"\b[A-Z][a-z]+(?:[- ][A-Za-z][a-z]+\b)+"
@@ -76,7 +75,7 @@ def term_discovery(spark, sf):
     return found.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(32).where("n >= 2")
 
 
-_TOK = r"list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> ''))"
+_TOK = r"list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda t: t <> ''))"
 
 
 @query(f"""WITH a AS (SELECT doc_id, {_TOK.format('text')} AS ta FROM documents), b AS (SELECT item_id, {_TOK.format('text')} AS tb FROM benchmark),
@@ -96,25 +95,6 @@ def caption_kinds(spark, sf):
     return D.table(spark, sf, "part").select("p_partkey", "p_name", T.caption_kind(text).alias("kind"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, p_size || '.' || (p_partkey % 9) || CASE WHEN p_partkey % 3 = 0 THEN '.' || (p_partkey % 5) ELSE '' END || ' ' || p_name AS h FROM part)
-SELECT p_partkey, regexp_extract(h, '^([0-9]+(?:\.[0-9]+)*)[.\s]', 1) AS numbering, (length(regexp_extract(h, '^([0-9]+(?:\.[0-9]+)*)[.\s]', 1)) - length(replace(regexp_extract(h, '^([0-9]+(?:\.[0-9]+)*)[.\s]', 1), '.', '')) + 1)::BIGINT AS level FROM t WHERE length(h) <= 80""")
-def heading_levels(spark, sf):
-    p = F.col("p_partkey")
-    h = F.concat(F.col("p_size").cast("string"), F.lit("."), (p % 9).cast("string"), F.when(p % 3 == 0, F.concat(F.lit("."), (p % 5).cast("string"))).otherwise(""), F.lit(" "), F.col("p_name"))
-    number = F.regexp_extract(h, T.NUMBERED_HEADING, 1)
-    return D.table(spark, sf, "part").where(F.length(h) <= 80).select("p_partkey", number.alias("numbering"), (F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).cast("long").alias("level"))
-
-
-@query(r"""WITH u AS (SELECT page_id, unnest(string_split(html, '>')) AS t FROM pages), c AS (SELECT page_id, t, length(t) - length(regexp_replace(t, '[=+*/<>^_|~]', '', 'g')) AS m, length(regexp_replace(t, '\s', '', 'g')) AS n FROM u WHERE length(t) BETWEEN 1 AND 80)
-SELECT page_id, count(*) AS n_texts, count(*) FILTER (m >= 0.3 * n AND NOT regexp_matches(t, '[A-Za-z]{4,}')) AS n_display, count(*) FILTER (regexp_matches(t, '[=\\]') AND m >= 0.15 * n) AS n_formula FROM c WHERE n > 0 GROUP BY page_id""")
-def equation_predicates(spark, sf):
-    rows = D.table(spark, sf, "pages").select("page_id", F.explode(F.split("html", ">")).alias("t")).where(F.length("t").between(1, 80))
-    rows = rows.withColumn("m", F.length("t") - F.length(F.regexp_replace("t", "[=+*/<>^_|~]", ""))).withColumn("n", F.length(F.regexp_replace("t", r"[ \t\n\f\r]", ""))).where("n > 0")
-    display = (F.col("m") >= 0.3 * F.col("n")) & ~F.col("t").rlike("[A-Za-z]{4,}")
-    formula = F.col("t").rlike(r"[=\\]") & (F.col("m") >= 0.15 * F.col("n"))
-    return rows.groupBy("page_id").agg(F.count("*").alias("n_texts"), F.count(F.when(display, 1)).alias("n_display"), F.count(F.when(formula, 1)).alias("n_formula"))
-
-
 @query(r"""SELECT page_id, CASE WHEN s = '' THEN 'upload' ELSE s END AS slug FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '\.[^./]*$', ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') AS s FROM pages)""")
 def url_slugs(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
@@ -125,7 +105,7 @@ for _k, _v in (("\\", "\x01"), ("{", r"\{"), ("}", r"\}"), ("\x01", r"\textbacks
     _ESC = f"replace({_ESC}, {'chr(1)' if _k == chr(1) else repr(_k)[:1] + _k + repr(_k)[-1:]}, {'chr(1)' if _v == chr(1) else repr(_v)[:1] + _v + repr(_v)[-1:]})"
 
 
-@query(rf"""SELECT doc_id, sha256({_ESC}) AS latex_sha FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\r\n\t]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g') AS plain FROM documents)""")
+@query(rf"""SELECT doc_id, sha256({_ESC}) AS latex_sha FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\r\n\t]', ' ', 'g'), '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g') AS plain FROM documents)""")
 def latex_escape(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", F.sha2(T.latex_escape(F.col("text")), 256).alias("latex_sha"))
 
@@ -145,23 +125,6 @@ def dummy_translate(spark, sf):
     return docs.select("doc_id", F.sha2(F.concat(F.lit("[TRANSLATED] "), "text"), 256).alias("content"), F.lit("dummy").alias("model"), F.substring(F.sha2(F.concat_ws("|", F.lit("dummy"), "lang", "text"), 256), 1, 16).alias("cache_key"))
 
 
-@query("""WITH old AS (SELECT conv_id, min(turn) AS pos, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), new AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND length(text) >= 100 GROUP BY conv_id)
-SELECT conv_id, coalesce(o.pos, 1000000 + conv_id) AS pos, sha256(coalesce(n.text, o.text)) AS content FROM old o FULL JOIN new n USING (conv_id)""")
-def translation_upsert(spark, sf):
-    turns = D.table(spark, sf, "conversations")
-    old = turns.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("pos"), F.max_by("text", "turn").alias("old"))
-    new = turns.where("role = 'assistant' AND length(text) >= 100").groupBy("conv_id").agg(F.max_by("text", "turn").alias("new"))
-    return old.join(new, "conv_id", "full_outer").select("conv_id", F.coalesce("pos", F.col("conv_id") + 1000000).alias("pos"), F.sha2(F.coalesce("new", "old"), 256).alias("content"))
-
-
-@query("""SELECT d.doc_id, coalesce(l.quality = 1, false) AS translated, sha256(CASE WHEN l.quality = 1 THEN '[TRANSLATED] ' || d.text ELSE d.text END) AS content FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def translation_overlay(spark, sf):
-    rows = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left")
-    new = F.coalesce(F.col("quality") == 1, F.lit(False))
-    content = F.when(new, F.concat(F.lit("[TRANSLATED] "), "text")).otherwise(F.col("text"))
-    return rows.select("doc_id", new.alias("translated"), F.sha2(content, 256).alias("content"))
-
-
 @query("""WITH m AS (SELECT DISTINCT lower(p_brand) AS k FROM part), c AS (SELECT DISTINCT p_type AS term FROM part UNION SELECT DISTINCT upper(p_brand) FROM part) SELECT term FROM c WHERE lower(term) NOT IN (SELECT k FROM m)""")
 def glossary_antijoin(spark, sf):
     part = D.table(spark, sf, "part")
@@ -170,15 +133,6 @@ def glossary_antijoin(spark, sf):
     return found.join(manual, F.lower("term") == F.col("k"), "left_anti")
 
 
-@query("""WITH m AS (SELECT lower(p_brand) AS k, min(p_name) AS v FROM part WHERE p_size < 25 GROUP BY 1), d AS (SELECT lower(p_brand) AS k, max(p_name) AS v FROM part GROUP BY 1)
-SELECT d.k AS term, coalesce(m.v, d.v) AS preferred, CASE WHEN m.k IS NULL THEN 'derived' ELSE 'manual' END AS source FROM d LEFT JOIN m USING (k)""")
-def glossary_merge(spark, sf):
-    part = D.table(spark, sf, "part")
-    manual = part.where("p_size < 25").groupBy(F.lower("p_brand").alias("term")).agg(F.min("p_name").alias("m"))
-    derived = part.groupBy(F.lower("p_brand").alias("term")).agg(F.max("p_name").alias("d"))
-    return derived.join(manual, "term", "left").select("term", F.coalesce("m", "d").alias("preferred"), F.when(F.col("m").isNull(), "derived").otherwise("manual").alias("source"))
-
-
 #: Native labels of providers and what they are called here; canonical names stand for themselves.
 LABELS = {
     "para": "PARAGRAPH_LIKE", "paragraph": "PARAGRAPH_LIKE", "title": "HEADING_LIKE", "heading": "HEADING_LIKE", "section-heading": "HEADING_LIKE", "caption": "CAPTION_LIKE", "figure": "FIGURE", "image": "FIGURE",
