@@ -55,7 +55,7 @@ def converted(text: str) -> str | None:
                 while end < len(text) and text[end].isdigit():
                     end += 1
                 out, at = out + rf"\sqrt{{{text[at + 1 : end]}}}", end
-            elif c == "√" and after.isalpha() and not text[at + 2 : at + 3].isalpha() and after not in SYMBOLS:
+            elif c == "√" and after.isalpha() and not text[at + 2 : at + 3].isalpha():
                 out, at = out + rf"\sqrt{{{after}}}", at + 2
             elif c != "√" and after.isalnum():
                 out, at = out + c + after, at + 2
@@ -195,4 +195,4 @@ def documents(blocks: DataFrame, template: str, marker: str) -> DataFrame:
 
 def write(texts: DataFrame, path: str) -> None:
     """A folder for each document with its text."""
-    texts.select("doc", "latex").write.mode("overwrite").partitionBy("doc").text(path, lineSep="")
+    texts.select("doc", "latex").write.mode("overwrite").partitionBy("doc").text(path)
