@@ -1,20 +1,28 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's tokens are parsed with a fixed depth: tokens with a digit are variable fields, `<*>`; the number of tokens
-and the first DEPTH tokens are the path to a leaf. In a leaf, the token that over half of its lines have at a
-place is fixed there, and other tokens are variable; a line that agrees with the fixed tokens in at least SIMILAR of
-its places has the template of these with `<*>` elsewhere, any other line is a template of its own. A template
-of MIN_TOKENS tokens or more in MIN_DOCS documents or more is recurring: its lines are dropped, but for the first
-(by doc_id, then line), so that no content is lost. The query, as its SQL says, leaves documents whole of which more than
-MAX_SHARE of the words would go. The pipeline (whole=True) leaves of these only near copies whole, for near-duplicate
-removal: those whose shingles of COPY_WORDS words have a Jaccard similarity of COPY or more to the document that has the
-most of their recurring words first. In the pipeline, templates of over LONG tokens recur from LONG_DOCS documents on,
-and such of under MIN_TOKENS from SHORT_DOCS on, unless all their tokens are variable (rows of numbers); and a leaf has
-several groups: lines far from its fixed tokens are dealt out further by their most frequent tokens.
-
-Only built-in functions. Lines are counted before leaves and templates are joined, so a line that a third of all
-documents have is one row where sums are made; joins on hot leaves are inner or semi joins that Spark splits.
-A null text has no lines and stays null; rows that repeat both doc_id and text are one document, each written out.
+and the first DEPTH tokens are the path to a leaf. A leaf holds groups of lines, at first one of all. In a group, the
+token that over half of its lines have at a place is fixed there, and other tokens are variable; a line that agrees with the
+fixed tokens in at least SIMILAR of its places has the template of these with `<*>` elsewhere. Lines that agree less are dealt
+out to further groups by the most frequent of their tokens that at most half of the group have, until none are left;
+a line that shares no such token with another, or of whose template no token would be left, is a template of its own.
+Groups halve at least with each round, and depend only on their own lines, not on how many others share the leaf.
+
+A template recurs when it is in MIN_DOCS documents or more; of over LONG tokens LONG_DOCS are enough, and short ones
+need as many as SHORT_DOCS says. Lines of recurring templates are dropped, but for the first (by doc_id, then line), so that
+no content is lost. Lines of nothing but variable fields (rows of numbers) have no template and stay.
+
+In the pipeline (spare=True) documents of which over half the words would go are left whole if they are near copies, for
+near-duplicate removal: if their shingles of COPY_WORDS words have a Jaccard similarity of COPY or more to the document
+that has the most of their recurring words first. All others lose their recurring lines whatever their share.
+
+Only built-in functions. Lines are cut and hashed once; a line that a third of all documents have is one row where groups
+are made, and joins on hot leaves, lines and templates are followed by a write or another exchange, so that Spark can split them.
+
+A null text has no lines and stays null; an empty or blank line stays. Rows that repeat both doc_id and text are one document,
+each written out; other texts of a doc_id are further versions of it. Rows without a doc_id neither count nor lose lines. Ties go to
+the token further left, and to the smallest doc_id and line, so any partitioning gives the same. Long lines take time in
+proportion to their tokens. Other columns are passed on; those that clash with the new ones raise an error that asks for a prefix.
 """
 
 from __future__ import annotations
@@ -24,15 +32,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import drop, stage, table
 
-DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
-SIMILAR, MAX_SHARE = 0.7, 0.5
-#: Documents that make a template recurring in the pipeline, by its tokens: the shorter, the more. Beyond the last, LONG_DOCS.
+DEPTH, MIN_DOCS, SIMILAR = 3, 3, 0.7
+#: Documents that make a template recurring by its tokens: the shorter, the more. Beyond the last, LONG_DOCS.
 SHORT_DOCS, LONG, LONG_DOCS = {1: 80, 2: 40, 3: 20}, 50, 2
-#: What the pipeline's near-duplicate stage takes for copies.
-COPY_WORDS, COPY = 5, 0.8
+#: What the pipeline's near-duplicate stage takes for copies, and the share of words from which that is asked.
+COPY_WORDS, COPY, MAX_SHARE = 5, 0.8, 0.5
 
+#: Bits of a filter of leaves: 2 ** FILTER_BITS, 8 MB, whatever the input.
+FILTER_BITS = 26
+
+_BLANKS = " \t\x0b\x0c\r"
 _BLANK = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -50,87 +61,108 @@ def _n_tokens(masked: Column) -> Column:
 
 
 def _least(n_tokens: Column) -> Column:
-    """The documents from which on the pipeline takes a template of so many tokens for recurring."""
+    """The documents from which on a template of so many tokens recurs."""
     least = F.when(n_tokens > LONG, LONG_DOCS).otherwise(MIN_DOCS)
     for n, docs in SHORT_DOCS.items():
         least = F.when(n_tokens == n, docs).otherwise(least)
     return least
 
 
-def _lines(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, version (hash of the text), line, masked, n_tokens, leaf of the lines long enough to be templates, or all that have a fixed token."""
-    # Lines are made inside the generator, whose rows no later step computes again.
-    masked = F.transform(F.split("text", "\n"), _masked)
-    rows = F.transform(masked, lambda m: F.struct(m.alias("masked"), _n_tokens(m).alias("n_tokens")))
-    rows = docs.select("doc_id", "version", F.posexplode(rows).alias("line", "x")).select("doc_id", "version", "line", "x.masked", "x.n_tokens")
-    long = F.col("n_tokens") >= MIN_TOKENS
-    if whole:
-        long = long | (F.col("masked") != "") & ~F.col("masked").rlike(r"^<\*>(?: <\*>)*$")
-    return rows.where(long).withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", DEPTH)))
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, version (hash of the text), line, n_tokens, leaf, own (hash of the masked line) and masked of all lines that are not blank; no leaf if all tokens are variable."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rows = rows.where(F.ltrim("raw", F.lit(_BLANKS)) != "").select("doc_id", "version", "line", _masked(F.col("raw")).alias("masked"))
+    number = F.startswith("masked", F.lit("<*>")) & F.col("masked").rlike(r"^<\*>(?: <\*>)*$")
+    leaf = F.when(~number, F.xxhash64(_n_tokens(F.col("masked")), F.substring_index("masked", " ", DEPTH)))
+    return rows.select("doc_id", "version", "line", _n_tokens(F.col("masked")).alias("n_tokens"), leaf.alias("leaf"), F.xxhash64("masked").alias("own"), "masked")
+
 
+def _placed(tokens: Column) -> Column:
+    """A hash of each token with its place."""
+    return F.transform(tokens, lambda t, i: F.xxhash64(i, t))
 
-def _fitted(counted: DataFrame, group: str) -> DataFrame:
-    """counted with template: the fixed tokens of the group with `<*>` elsewhere, or null if the line agrees with too few of them."""
-    tokens = counted.select(group, "all", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+
+def _fitted(open_: DataFrame) -> DataFrame:
+    """open_ with template, the hash of the fixed tokens of its group that the line has, or null if it has too few of them."""
+    tokens = open_.select("group", "all", "n", F.explode(_placed(F.split("masked", " "))).alias("token"))
     # All lines of a group have as many tokens, so a place is held as often as the group has lines.
-    fixed = tokens.groupBy(group, "all", "place", "token").agg(F.sum("n").alias("n")).where(2 * F.col("n") > F.col("all"))
-    fixed = fixed.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    # Null where a line's token is not the fixed one.
-    own = F.transform(F.split("masked", " "), lambda t, i: F.when(t == F.element_at("fixed", i), t))
-    joined = counted.join(fixed, group, "left").withColumn("own", own)
-    agree = F.size(F.array_compact("own"))
-    return joined.withColumn("template", F.when(agree >= SIMILAR * F.size("own"), F.array_join("own", " ", "<*>"))).drop("fixed", "own")
-
-
-def templates(lines: DataFrame, places: DataFrame, whole: bool = False) -> DataFrame:
-    """leaf, masked and template of the lines in leaves that two documents or more share; places are the lines without their text."""
-    shared = places.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("all")).where("a < b").select("leaf", "all")
-    counted = stage(lines.select("leaf", "masked").join(shared, "leaf").groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.max("all").alias("all")), "lines")
-    if not whole:
-        return _fitted(counted, "leaf").select("leaf", "masked", F.coalesce("template", "masked").alias("template"))
-    # Lines that agree with too few of their group's fixed tokens are dealt by the most frequent of their tokens that at
-    # most half of the group have: groups halve at least, so the rounds end.
-    out, open_ = [], counted.withColumn("group", F.col("leaf"))
+    fixed = tokens.groupBy("group", "token").agg(F.sum("n").alias("n"), F.max("all").alias("all")).where(2 * F.col("n") > F.col("all"))
+    fixed = fixed.groupBy("group").agg(F.collect_list("token").alias("fixed"))
+    joined = open_.join(fixed, "group", "left").withColumn("placed", _placed(F.split("masked", " ")))
+    joined = joined.withColumn("same", F.array_intersect("placed", F.coalesce("fixed", F.array().cast("array<long>"))))
+    template = F.when(F.size("same") >= SIMILAR * F.size("placed"), _name(F.col("masked"), F.col("same")))
+    return joined.withColumn("template", template).drop("fixed", "placed", "same")
+
+
+def _name(masked: Column, same: Column | None = None) -> Column:
+    """The hash of a line's tokens with their places, variable fields left out; of those in `same` alone, if any are."""
+    placed = F.transform(F.split(masked, " "), lambda t, i: F.when(t != "<*>", F.xxhash64(i, t)))
+    own = F.array_compact(placed)
+    both = own if same is None else F.array_intersect(own, same)
+    return F.xxhash64(F.when(F.size(both) > 0, both).otherwise(own))
+
+
+def _near(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows of which the leaf may be among leaves: a bitmap of 2 ** FILTER_BITS hashes, which is at most so many bits for any input, spares shuffling most others."""
+    at = lambda c: F.shiftrightunsigned(c, 64 - FILTER_BITS)
+    bits = leaves.groupBy(F.shiftright(at("leaf"), 15).alias("part")).agg(F.bitmap_construct_agg(at("leaf").bitwiseAND(32767)).alias("bits"))
+    joined = rows.withColumn("part", F.shiftright(at("leaf"), 15)).join(F.broadcast(bits), "part")
+    byte = F.substring("bits", (F.shiftright(at("leaf").bitwiseAND(32767), 3) + 1).cast("int"), F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), at("leaf").bitwiseAND(7).cast("int"))
+    return joined.where(held == 1).drop("part", "bits")
+
+
+def templates(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """own and template of the lines in leaves that two documents or more share, and the staged tables this reads. A masked line tells its leaf."""
+    shared = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("all")).where("a < b")
+    shared = stage(shared.select("leaf", "all"), "shared")
+    # Grouped by the line alone: were the leaf among the keys, Spark would count where it joins, and not split hot leaves.
+    near = _near(lines.select("leaf", "masked"), shared)
+    counted = near.hint("merge").join(shared, "leaf").groupBy("masked").agg(F.max("leaf").alias("leaf"), F.count("*").alias("n"), F.max("all").alias("all"))
+    open_ = stage(counted.withColumn("group", F.col("leaf")), "lines")
+    out, old = [], [shared, open_]
     while True:
-        named = stage(_fitted(open_, "group").select("leaf", "group", "masked", "n", "all", "template"), "named")
-        out.append(named.where("template IS NOT NULL").select("leaf", "masked", "template"))
+        # A line that is alone in its group is its template.
+        alone = F.col("n") == F.col("all")
+        out.append(open_.where(alone).select("leaf", F.xxhash64("masked").alias("own"), _name(F.col("masked")).alias("template")))
+        named = stage(_fitted(open_.where(~alone)).select("leaf", "group", "masked", "n", "all", "template"), "named")
+        out.append(named.where("template IS NOT NULL").select("leaf", F.xxhash64("masked").alias("own"), "template"))
+        old.append(named)
         rest = named.where("template IS NULL").drop("template")
         if rest.isEmpty():
             break
-        tokens = rest.select("*", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+        tokens = rest.select("leaf", "group", "masked", "n", "all", F.posexplode(F.split("masked", " ")).alias("place", "token"))
         held = tokens.groupBy("group", "place", "token").agg(F.sum("n").alias("held"), F.count("*").alias("kinds"), F.max("all").alias("most"))
         held = held.where("2 * held <= most AND kinds > 1").select("group", "place", "token", "held")
         rank = F.when(F.col("held").isNotNull(), F.struct("held", -F.col("place")))
-        dealt = tokens.join(held, ["group", "place", "token"], "left").groupBy("leaf", "group", "masked", "n").agg(F.max_by(F.struct("place", "token"), rank).alias("by"))
+        dealt = tokens.join(held, ["group", "place", "token"], "left").groupBy("masked").agg(F.max("leaf").alias("leaf"), F.max("group").alias("group"), F.max("n").alias("n"), F.max_by(F.struct("place", "token"), rank).alias("by"))
         dealt = stage(dealt.select("leaf", "masked", "n", F.when(F.col("by").isNotNull(), F.xxhash64("group", "by.place", "by.token")).alias("group")), "dealt")
         # No other line has a token at one of their places: templates of their own.
-        out.append(dealt.where("group IS NULL").select("leaf", "masked", F.col("masked").alias("template")))
+        out.append(dealt.where("group IS NULL").select("leaf", F.xxhash64("masked").alias("own"), _name(F.col("masked")).alias("template")))
         sizes = dealt.where("group IS NOT NULL").groupBy("group").agg(F.sum("n").alias("all"))
-        open_ = dealt.join(sizes, "group")
-    return reduce(DataFrame.union, out)
-
-
-def dropped(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, version, the numbers (from 0) of the lines to drop, their words and, if whole, the host of most of these words; documents without such lines are left out."""
-    lines = _lines(docs, whole)
-    # Without the text, by hashes: read twice, while texts are read once for this and once for the templates.
-    places = stage(lines.select("doc_id", "version", "line", "n_tokens", "leaf", F.xxhash64("masked").alias("own")), "places")
-    # One row for each different line: templates are told apart by leaf and hash.
-    names = templates(lines, places, whole).select("leaf", F.xxhash64("masked").alias("own"), F.xxhash64("template").alias("template"))
-    at = places.join(names, ["leaf", "own"])
-    at = stage(at.select("doc_id", "version", "line", "n_tokens", "leaf", "template"), "occurrences")
-    by_doc = at.groupBy("leaf", "template", "doc_id").agg(F.min("line").alias("line"), *([F.min("n_tokens").alias("n_tokens")] if whole else []))
-    # A leaf's lines have one number of tokens.
-    by_doc = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first"), *([F.min("n_tokens").alias("n")] if whole else []))
-    recurring = by_doc.where(F.col("docs") >= (_least(F.col("n")) if whole else MIN_DOCS)).drop("n")
-    out = at.join(recurring, ["leaf", "template"]).where("doc_id <> first.doc_id OR line <> first.line")
-    if not whole:
-        out = out.select("doc_id", "version", "line", "n_tokens").distinct()
-        return out.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("n_tokens").alias("words"))
+        open_ = stage(dealt.join(sizes, "group"), "open")
+        old += [dealt, open_]
+    return reduce(DataFrame.union, out).select("own", F.xxhash64("leaf", "template").alias("template")), old
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """doc_id, version, the numbers (from 0) of the lines to drop, their words and the host of most of these words; documents without such lines are left out."""
+    lines = stage(_lines(docs), "cut")
+    # One row for each different line; lines are told apart by their hash.
+    names, old = templates(lines)
+    places = lines.where("leaf IS NOT NULL").select("doc_id", "version", "line", "n_tokens", "own")
+    at = stage(places.hint("merge").join(names, "own").select("doc_id", "version", "line", "n_tokens", "template"), "occurrences")
+    drop(lines, *old)
+    by_doc = at.groupBy("template", "doc_id").agg(F.min("line").alias("line"), F.min("n_tokens").alias("n_tokens"))
+    by_doc = by_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("n_tokens").alias("n"))
+    recurring = by_doc.where(F.col("docs") >= _least(F.col("n"))).select("template", "first")
+    out = at.hint("merge").join(recurring, "template").where("doc_id <> first.doc_id OR line <> first.line")
     out = out.select("doc_id", "version", "line", "n_tokens", F.col("first.doc_id").alias("host")).distinct()
     by_host = out.groupBy("doc_id", "version", "host").agg(F.collect_list("line").alias("lines"), F.sum("n_tokens").alias("words"))
     most = F.max(F.struct("words", (-F.col("host")).alias("host")))
-    return by_host.groupBy("doc_id", "version").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"), F.sum("words").alias("words"), (-most["host"]).alias("host"))
+    gone = stage(by_host.groupBy("doc_id", "version").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"), F.sum("words").alias("words"), (-most["host"]).alias("host")), "gone")
+    drop(at)
+    return gone
 
 
 def _shingles(text: str) -> Column:
@@ -149,31 +181,39 @@ def copies(over: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.where(shared >= COPY * (F.size("x") + F.size("y") - shared)).select("doc", "version").distinct()
 
 
-def clean(docs: DataFrame, text: str = "text", prefix: str = "", whole: bool = False) -> DataFrame:
-    """docs with the recurring lines taken out of its text, and the columns n_lines and n_dropped; whole: as the pipeline does."""
+def clean(docs: DataFrame, text: str = "text", prefix: str = "", spare: bool = False) -> DataFrame:
+    """docs with the recurring lines taken out of its text, and the columns n_lines and n_dropped; spare: near copies stay whole."""
     if clash := {prefix + "n_lines", prefix + "n_dropped"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
-    version = F.xxhash64(F.col(f"`{text}`"))
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), version.alias("version"))
-    gone = dropped(pairs, whole)
-    gone = gone.select(F.col("doc_id").alias("__doc"), *(F.col(c).alias(f"__{c}") for c in gone.columns[1:]))
-    if whole:
-        gone = stage(gone, "gone")
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (version == F.col("__version")), "left")
-    t = F.col(f"`{text}`")
-    words = F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    few = F.col("__words") <= MAX_SHARE * words
-    if whole:
-        over = joined.where(F.col("__lines").isNotNull() & ~few).select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), t.alias("text"), F.col("__host").alias("host"))
-        found = stage(copies(over, pairs), "copies").select(F.col("doc").alias("__copy"), F.col("version").alias("__copy_version"))
-        joined = joined.join(found, (F.col("__doc") == F.col("__copy")) & (F.col("__version") == F.col("__copy_version")), "left")
-        few = F.col("__copy").isNull()
-    joined = joined.withColumn("__drop", F.when(F.col("__lines").isNotNull() & few, F.col("__lines")))
-    kept = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    new = F.when(F.col("__drop").isNotNull(), kept).otherwise(t)
+    names = {}
+    for c in ("doc", "version", "lines", "words", "host", "copy", "copy_version"):
+        names[c] = f"__{c}"
+        while names[c] in docs.columns:
+            names[c] += "_"
+    col = lambda c: F.col(names[c])
+    t, key = F.col(f"`{text}`"), F.col("`doc_id`").cast("long")
+    version = F.xxhash64(t)
+    pairs = docs.select(key.alias("doc_id"), t.alias("text"), version.alias("version"))
+    gone = dropped(pairs)
+    # Neither side is bounded: no broadcast, at any size.
+    joined = docs.hint("merge").join(gone.select(F.col("doc_id").alias(names["doc"]), *(F.col(c).alias(names[c]) for c in gone.columns[1:])), (key == col("doc")) & (version == col("version")), "left")
+    if spare:
+        # Only of documents that would lose over half their words the texts are looked at again.
+        words = F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        over = joined.where(col("lines").isNotNull() & (col("words") > MAX_SHARE * words)).select(col("doc").alias("doc"), col("version").alias("version"), t.alias("text"), col("host").alias("host"))
+        found = stage(copies(over, pairs), "copies").select(F.col("doc").alias(names["copy"]), F.col("version").alias(names["copy_version"]))
+        # By the same expressions as before, so that texts are not dealt out again.
+        joined = joined.hint("merge").join(found, (key == col("copy")) & (version == col("copy_version")), "left")
+    lost = F.when(col("copy").isNull(), col("lines")) if spare else col("lines")
+    # A flag for each line up to the last that goes, so that long texts take time in proportion.
+    goes = F.flatten(F.transform(lost, lambda x, i: F.concat(F.array_repeat(F.lit(False), F.when(i > 0, x - F.get(lost, i - 1) - 1).otherwise(x)), F.array(F.lit(True)))))
+    flagged = F.arrays_zip(F.split(t, "\n").alias("line"), goes.alias("goes"))
+    kept = F.array_join(F.transform(F.filter(flagged, lambda z: ~F.coalesce(z["goes"], F.lit(False))), lambda z: z["line"]), "\n")
+    new = F.when(lost.isNotNull(), kept).otherwise(t)
     columns = [(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    n_lines = F.when(t.isNull(), F.lit(0)).otherwise(F.size(F.split(t, "\n"))).cast("long")
-    return joined.select(*columns, n_lines.alias(f"{prefix}n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"))
+    # Line feeds and one more.
+    n_lines = F.when(t.isNull(), F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return joined.select(*columns, n_lines.alias(f"{prefix}n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +221,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
+def _round_sql(k: int) -> str:
+    """One round of groups: named{k} are lines with a template, o{k + 1} the lines of the next round's groups."""
+    return rf"""
+, t{k} AS MATERIALIZED (
+  SELECT grp, place, tok, sum(n) AS c, max(total) AS total FROM (SELECT grp, n, total, unnest(toks) AS tok, generate_subscripts(toks, 1) AS place FROM o{k}) GROUP BY ALL
+), s{k} AS MATERIALIZED (
+  SELECT grp, list(tok ORDER BY place) AS fix FROM (SELECT grp, place, max(CASE WHEN 2 * c > total THEN tok END) AS tok FROM t{k} GROUP BY grp, place) GROUP BY grp
+), f{k} AS MATERIALIZED (
+  SELECT leaf, grp, masked, toks, n, total, CASE WHEN len(list_filter(own, lambda x: x IS NOT NULL)) >= {SIMILAR} * len(own) THEN
+         CASE WHEN len(list_filter(own, lambda x: x IS NOT NULL AND x <> '<*>')) > 0 THEN array_to_string([coalesce(x, '<*>') FOR x IN own], ' ') ELSE masked END END AS template
+  FROM (SELECT o.*, [CASE WHEN z[1] = z[2] THEN z[1] END FOR z IN list_zip(toks, fix)] AS own FROM o{k} o JOIN s{k} USING (grp))
+), p{k} AS MATERIALIZED (
+  SELECT grp, masked, n, total, unnest(toks) AS tok, generate_subscripts(toks, 1) AS place FROM f{k} WHERE template IS NULL
+), h{k} AS MATERIALIZED (
+  SELECT grp, place, tok, sum(n) AS held FROM p{k} GROUP BY ALL HAVING 2 * sum(n) <= max(total) AND count(*) > 1
+), b{k} AS MATERIALIZED (
+  SELECT grp, masked, arg_max(place || ' ' || tok, {{'h': held, 'p': -place}}) AS tag FROM p{k} JOIN h{k} USING (grp, place, tok) GROUP BY grp, masked
+), o{k + 1} AS MATERIALIZED (
+  SELECT leaf, f.grp || '/' || tag AS grp, masked, toks, n, sum(n) OVER (PARTITION BY f.grp || '/' || tag) AS total FROM f{k} f JOIN b{k} USING (grp, masked)
+), named{k} AS (
+  SELECT leaf, masked, coalesce(template, masked) AS template FROM f{k} f WHERE template IS NOT NULL OR NOT EXISTS (SELECT 1 FROM b{k} b WHERE b.grp = f.grp AND b.masked = f.masked)
+)"""
+
+
+#: Rounds written out for SQL; groups halve, so these do for leaves of 2 ** SQL_ROUNDS lines.
+SQL_ROUNDS = 14
+
 ORACLE_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
@@ -188,31 +255,22 @@ WITH raw AS (
 ), split AS (
   SELECT doc_id, text, line, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END FOR t IN
          regexp_extract_all(raw, '[^\x20\x09\x0B-\x0D]+')] AS toks FROM raw
-), lines AS (
+), lines AS MATERIALIZED (
   SELECT *, len(toks) AS n, array_to_string(toks, ' ') AS masked, len(toks) || ':' || array_to_string(toks[1:{DEPTH}], ' ') AS leaf
-  FROM split WHERE len(toks) >= {MIN_TOKENS}
-), counted AS (
-  SELECT leaf, masked, any_value(toks) AS toks, count(*) AS c FROM lines
+  FROM split WHERE len(list_filter(toks, lambda t: t <> '<*>')) > 0
+), o0 AS MATERIALIZED (
+  SELECT leaf, leaf AS grp, masked, any_value(toks) AS toks, count(*) AS n, sum(count(*)) OVER (PARTITION BY leaf) AS total FROM lines
   WHERE leaf IN (SELECT leaf FROM lines GROUP BY leaf HAVING min(doc_id) < max(doc_id)) GROUP BY leaf, masked
-), tokens AS (
-  SELECT leaf, place, tok, sum(c) AS c FROM (SELECT leaf, c, unnest(toks) AS tok, generate_subscripts(toks, 1) AS place FROM counted) GROUP BY ALL
-), fixed AS (
-  SELECT leaf, place, max(CASE WHEN 2 * c > total THEN tok END) AS tok
-  FROM (SELECT *, sum(c) OVER (PARTITION BY leaf, place) AS total FROM tokens) GROUP BY leaf, place
-), skeleton AS (SELECT leaf, list(tok ORDER BY place) AS fix FROM fixed GROUP BY leaf
-), named AS (
-  SELECT leaf, masked, CASE WHEN len(list_filter(own, lambda x: x IS NOT NULL)) >= {SIMILAR} * len(own)
-         THEN array_to_string([coalesce(x, '<*>') FOR x IN own], ' ') ELSE masked END AS template
-  FROM (SELECT leaf, masked, [CASE WHEN z[1] = z[2] THEN z[1] END FOR z IN list_zip(toks, fix)] AS own FROM counted JOIN skeleton USING (leaf))
+){"".join(_round_sql(k) for k in range(SQL_ROUNDS))}
+, named AS ({" UNION ALL ".join(f"SELECT * FROM named{k}" for k in range(SQL_ROUNDS))}
 ), occurrences AS (SELECT l.doc_id, l.text, l.line, l.n, n.leaf, n.template FROM lines l JOIN named n USING (leaf, masked)
 ), recurring AS (
-  SELECT leaf, template, min({{'d': doc_id, 'l': line}}) AS first FROM occurrences GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  SELECT leaf, template, min({{'d': doc_id, 'l': line}}) AS first FROM occurrences GROUP BY leaf, template
+  HAVING count(DISTINCT doc_id) >= CASE max(n) {" ".join(f"WHEN {n} THEN {docs}" for n, docs in SHORT_DOCS.items())} ELSE CASE WHEN max(n) > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END END
 ), gone AS (
-  SELECT doc_id, text, list(line) AS lines, sum(n) AS words FROM occurrences JOIN recurring USING (leaf, template)
+  SELECT doc_id, text, list(line) AS lines FROM occurrences JOIN recurring USING (leaf, template)
   WHERE doc_id <> first.d OR line <> first.l GROUP BY doc_id, text
-), marked AS (
-  SELECT d.doc_id, d.text, CASE WHEN g.words <= {MAX_SHARE} * len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')) THEN g.lines END AS lines
-  FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text
+), marked AS (SELECT d.doc_id, d.text, g.lines FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.text = g.text
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(lines), 0)::BIGINT AS n_dropped,
        sha256(coalesce(CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(lines, i - 1)), chr(10)) END, '')) AS clean_sha256
