@@ -47,6 +47,8 @@ def corpus(seed, size=260):
 def test_components_match_brute_force(spark, monkeypatch, seed, n, percent, block, hot):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "LEAF", 32 if block > 5 else 4)
+    monkeypatch.setattr(jaccard, "RANKS", 4 if block > 5 else 1)
     monkeypatch.setattr(jaccard, "SHARE", 1.0)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
@@ -85,20 +87,36 @@ def test_parities_never_differ_in_more_than_the_sets():
                 assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
 
 
-def test_one_leaf_and_tree_find_the_same(monkeypatch):
+def test_tree_and_pairs_keep_what_the_bounds_allow():
     import numpy as np
+    import pyarrow as pa
 
     rng = np.random.default_rng(3)
     for low, high in ((0, 4), (4, 64), (0, 1 << 60)):
-        sets = [np.unique(rng.choice(rng.integers(0, 1 << 63, 60, np.uint64) if k % 9 == 0 else np.arange(40, dtype=np.uint64), rng.integers(28, 44))) for k in range(25)]
+        sets = [np.unique(rng.choice(rng.integers(0, 1 << 63, 60, np.uint64) if k % 9 == 0 else np.arange(40, dtype=np.uint64), rng.integers(28, 44))) for k in range(60)]
         n = np.array([len(x) for x in sets])
-        gid, comp, role = rng.permutation(25), rng.integers(0, 6, 25), rng.integers(0, 3, 25)
-        points = np.array([np.bincount((jaccard.mix(x) % np.uint64(64)).astype(int), minlength=64) for x in sets], np.int32)
-        marks = [jaccard.parity(x) for x in sets]
-        pairs = lambda found: sorted((int(a), int(b)) for p, q in found for a, b in zip(p, q, strict=True))
-        want = pairs(jaccard.partners(gid, n, comp, role, points, marks, low, high, 60))
-        assert pairs(jaccard.leaf_partners(np.array([0]), np.array([25]), gid, n, comp, role, points, marks, low, high, 60)) == want
-        assert want or low
+        gid, comp, role = rng.permutation(60), rng.integers(0, 6, 60), rng.integers(0, 3, 60)
+        points, marks = jaccard.points_of([jaccard.point(x) for x in sets]), [jaccard.parity(x) for x in sets]
+        rows = jaccard.folded(marks, min(map(len, marks)))
+        want = set()
+        for i in np.flatnonzero(role != 1):
+            able = []
+            for j in np.flatnonzero(role > 0):
+                if comp[i] != comp[j] and (n[j], gid[j]) < (n[i], gid[i]) and 100 * n[j] >= 60 * n[i]:
+                    bound = int(np.minimum(points[i], points[j]).sum())
+                    if 160 * bound >= 60 * (n[i] + n[j]) and 160 * int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= 40 * (n[i] + n[j]):
+                        able.append((-bound, gid[j]))
+            want |= {(int(g), int(gid[i])) for _, g in sorted(able)[low:high]}
+        got = {(int(x), int(y)) for a, b, _ in jaccard.partners(gid, n, comp, role, points, marks, low, high, 60) for x, y in zip(a, b, strict=True)}
+        assert got == want and (want or low)
+    i, j = np.triu_indices(60, 1)
+    pick = lambda of, at: [of(sets[k]) for k in at]
+    columns = {"a": i, "b": j, "n": n[i], "m": n[j], "counts": pick(jaccard.point, i), "other": pick(jaccard.point, j), "parity": pick(jaccard.parity, i), "other_parity": pick(jaccard.parity, j)}
+    kept = {(a, b) for r in jaccard._bounded(60)(iter([pa.RecordBatch.from_pydict(columns)])) for a, b in zip(*(c.to_pylist() for c in r.columns), strict=True)}
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert (a, b) in kept or 100 * both < 60 * (len(sets[a]) + len(sets[b]) - both)
+    assert 0 < len(kept) < len(i)
 
 
 def test_odd_rows(docs, no_docs):
