@@ -1,20 +1,25 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample (SAMPLE vectors); every vector is then put into its leaf. A query
+The upper tree is fitted on a bounded sample (SAMPLE vectors); every vector is then put into its leaf. A query
 goes down the tree through a priority queue of branches, nearest centre first, and visits leaf after leaf.
 How many leaves is calibrated on sampled queries against brute force over the sample: visits
-widen until their recall reaches RECALL.
+widen until their recall reaches RECALL. A leaf that holds more than FINE vectors gets a tree of its own, fitted on
+a sample of FINE_SAMPLE of its vectors and calibrated on these, so that cells stay small as the table grows;
+queries that visit the leaf search that tree in the same way.
 
 Equal vectors are indexed once, with their K + 1 smallest ids; as ties go to the smaller id, no other can be
 among the K nearest of any query. Leaves of many vectors or many queries are split into blocks.
-Vectors that are null or zero, or hold null or non-finite components, take no part, nor do those of
-another length than most. A query with no candidate has no row. Rows that repeat a vec_id count as one.
+Vectors that are null or zero, or hold null or non-finite components, take no part. Vectors of each length have a tree of their own,
+and are candidates of queries of that length only. A query with no candidate has no row. Rows that repeat a vec_id and its vector
+count as one; further vectors of a vec_id are candidates under the same id, and queries of their own. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +33,8 @@ K = 5
 SAMPLE, CALIBRATION = 20_000, 256
 BRANCH, LEAF = 8, 150
 RECALL = 0.98
+#: Vectors beyond which a leaf has a tree of its own, the sample that tree is fitted on, and its recall.
+FINE, FINE_SAMPLE, FINE_RECALL = 4096, 2048, 0.995
 #: Vectors and queries of a leaf that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 
@@ -159,6 +166,76 @@ def _nearest(key, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
 
 
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """A leaf's own tree and its number of visits."""
+    x = _unit(np.stack(rows["vector"].to_numpy()).astype(np.float64))
+    tree = Tree(x, float(rows["n"].iloc[0]) / len(x))
+    return pd.DataFrame({"leaf": [rows["leaf"].iloc[0]], "tree": [pickle.dumps((tree, calibrate(tree, x, FINE_RECALL)))]})
+
+
+def _into_cells(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    if len(rows):
+        rows["cell"] = pickle.loads(trees["tree"].iloc[0])[0].assign(_unit(np.stack(rows["vector"].to_numpy()).astype(np.float64)))
+    return rows[["vector", "ids", "gid", "leaf", "cell"]] if len(rows) else pd.DataFrame({"vector": [], "ids": [], "gid": [], "leaf": [], "cell": []})
+
+
+def _to_cells(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    out = {"vector": [], "gid": [], "leaf": [], "cell": []}
+    if len(rows):
+        tree, visits = pickle.loads(trees["tree"].iloc[0])
+        for vector, gid, leaf in zip(rows["vector"], rows["gid"], rows["leaf"], strict=True):
+            q = np.asarray(vector, np.float64)
+            for n, cell in enumerate(tree.visit(q / np.linalg.norm(q))):
+                if n == visits:
+                    break
+                for k, v in zip(out, (vector, gid, leaf, cell), strict=True):
+                    out[k].append(v)
+    return pd.DataFrame(out)
+
+
+def _cells(members: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and visits with the cell of their leaf; 0 in leaves that have no tree of their own."""
+    large = stage(members.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > FINE), "large")
+    if large.isEmpty():
+        return members.withColumn("cell", F.lit(0).cast("long")), wanted.withColumn("cell", F.lit(0).cast("long"))
+    some = Window.partitionBy("leaf").orderBy(F.xxhash64("gid"), "gid")
+    sample = members.withColumn("r", F.row_number().over(some)).where(F.col("r") <= FINE_SAMPLE).join(large, "leaf")
+    trees = stage(sample.select("leaf", "n", "vector").groupBy("leaf").applyInPandas(_fit, "leaf long, tree binary"), "trees")
+
+    def split(rows: DataFrame, rule, columns: str, size: int) -> DataFrame:
+        """rows of large leaves through the rule, in blocks; others as they are."""
+        counts = rows.join(large.select("leaf"), "leaf").groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {size}) as int)").alias("nb"))
+        held = rows.join(counts, "leaf").withColumn("block", F.expr("pmod(xxhash64(gid), nb)"))
+        dealt = trees.join(counts, "leaf").select("leaf", "tree", F.explode(F.expr("sequence(0L, cast(nb as long) - 1)")).alias("block"))
+        own = held.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(rule, columns)
+        names = [c.split()[0] for c in columns.split(", ")]
+        return own.select(*names).union(rows.join(large.select("leaf"), "leaf", "left_anti").withColumn("cell", F.lit(0).cast("long")).select(*names))
+
+    placed = stage(split(members, _into_cells, "vector array<double>, ids array<long>, gid long, leaf long, cell long", BLOCK_VECTORS), "cells")
+    return placed, stage(split(wanted, _to_cells, "vector array<double>, gid long, leaf long, cell long", BLOCK_QUERIES), "visits")
+
+
+def _of_length(groups: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """query (the smallest id of equal vectors) and its list near of n, vec_id, score, for vectors and queries of one length, of which there are `size` different ones."""
+    sample = _unit(_matrix(groups.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("vector").toArrow().column(0)))
+    tree = Tree(sample, size / len(sample))
+    visits = calibrate(tree, sample)
+    members = stage(groups.mapInArrow(_assign(tree), "vector array<double>, ids array<long>, gid long, leaf long"), "leaves")
+    # Queries are asked once for each different vector.
+    distinct = known.groupBy("vector").agg(F.min("query_id").alias("gid"))
+    wanted = stage(distinct.mapInArrow(_visit(tree, visits), "vector array<double>, gid long, leaf long"), "visits")
+    members, wanted = _cells(members, wanted)
+    at = ["leaf", "cell"]
+    blocks = members.groupBy(*at).agg(F.expr(f"cast(ceil(count(*) / {BLOCK_VECTORS}) as int)").alias("nv")).join(wanted.groupBy(*at).agg(F.expr(f"cast(ceil(count(*) / {BLOCK_QUERIES}) as int)").alias("nq")), at)
+    left = members.join(blocks, at).select(*at, F.expr("pmod(xxhash64(gid), nv)").alias("v"), F.explode(F.expr("sequence(0L, cast(nq as long) - 1)")).alias("q"), "vector", "ids")
+    right = wanted.join(blocks, at).select(*at, F.explode(F.expr("sequence(0L, cast(nv as long) - 1)")).alias("v"), F.expr("pmod(xxhash64(gid), nq)").alias("q"), "vector", "gid")
+    found = left.groupBy(*at, "v", "q").cogroup(right.groupBy(*at, "v", "q")).applyInPandas(_nearest, "query long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= K + 1)
+    lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    return known.join(lists.join(distinct.withColumnRenamed("gid", "query"), "query"), "vector").select("query_id", "near")
+
+
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The K nearest of each query among vectors, its own id left out: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -168,35 +245,16 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column:
         .where("id IS NOT NULL AND vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)")
         .distinct()
     )
-    everything, asked = usable(vectors), usable(queries)
+    everything, asked = usable(vectors), usable(queries).withColumnRenamed("id", "query_id")
     own = Window.partitionBy("vector").orderBy("id")
     groups = everything.withColumn("n", F.row_number().over(own)).where(F.col("n") <= K + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     groups = stage(groups.withColumn("gid", F.element_at("ids", 1)), "vectors")
-    size = groups.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
+    # A table has one length of vectors as a rule; each length that queries have is searched by itself.
+    sizes = groups.groupBy(F.size("vector").alias("d")).count().join(asked.select(F.size("vector").alias("d")).distinct(), "d").orderBy("d").collect()
+    parts = [_of_length(groups.where(F.size("vector") == d), asked.where(F.size("vector") == d), n) for d, n in sizes]
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    groups = groups.where(F.size("vector") == size["d"])
-    sample = _unit(_matrix(groups.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("vector").toArrow().column(0)))
-    tree = Tree(sample, size["count"] / len(sample))
-    visits = calibrate(tree, sample)
-
-    members = stage(groups.mapInArrow(_assign(tree), "vector array<double>, ids array<long>, gid long, leaf long"), "leaves")
-    # Queries are asked once for each different vector.
-    known = asked.where(F.size("vector") == size["d"]).withColumnRenamed("id", "query_id")
-    distinct = known.groupBy("vector").agg(F.min("query_id").alias("gid"))
-    wanted = stage(distinct.mapInArrow(_visit(tree, visits), "vector array<double>, gid long, leaf long"), "visits")
-    # As many rows as the tree has leaves, fewer than the sample.
-    blocks = F.broadcast(
-        members.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_VECTORS}) as int)").alias("nv"))
-        .join(wanted.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_QUERIES}) as int)").alias("nq")), "leaf")
-    )
-    left = members.join(blocks, "leaf").select("leaf", F.expr("pmod(xxhash64(gid), nv)").alias("v"), F.explode(F.expr("sequence(0L, cast(nq as long) - 1)")).alias("q"), "vector", "ids")
-    right = wanted.join(blocks, "leaf").select("leaf", F.explode(F.expr("sequence(0L, cast(nv as long) - 1)")).alias("v"), F.expr("pmod(xxhash64(gid), nq)").alias("q"), "vector", "gid")
-    found = left.groupBy("leaf", "v", "q").cogroup(right.groupBy("leaf", "v", "q")).applyInPandas(_nearest, "query long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= K + 1)
-    lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near")).join(distinct.withColumnRenamed("gid", "query"), "query")
-    lists = known.join(lists, "vector").select("query_id", F.expr(f"slice(filter(near, x -> x.vec_id <> query_id), 1, {K})").alias("near"))
+    lists = reduce(DataFrame.union, parts).select("query_id", F.expr(f"slice(filter(near, x -> x.vec_id <> query_id), 1, {K})").alias("near"))
     return lists.select("query_id", F.posexplode("near").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")
 
 

@@ -54,3 +54,20 @@ def test_few_and_none(spark):
     assert ann.search(*[spark.createDataFrame([], SCHEMA)] * 2).count() == 0
     one = spark.createDataFrame([(0, [1.0, 2.0], 0)], SCHEMA)
     assert ann.search(one, one).count() == 0
+
+
+def test_leaves_that_grow_have_trees_of_their_own(spark, monkeypatch):
+    for name, value in (("SAMPLE", 300), ("FINE", 60), ("FINE_SAMPLE", 200), ("LEAF", 20), ("BLOCK_VECTORS", 500), ("BLOCK_QUERIES", 40)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) + 4 * np.eye(8)[i % 8 * (i % 3 > 0)]).astype(np.float32).tolist(), 0) for i in range(3000)]
+    compare(spark, rows, 20, 0.9)
+
+
+def test_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (0, [1.0, 0.0], 0), (2, [0.0, 1.0, 0.0], 0), (3, [0.0, 1.0, 0.5], 0), (4, [1.0], 0), (5, [1.0, 0.2], 0), (5, [0.5, 0.5], 0)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in sorted(ann.search(vectors, vectors.where("vec_id < 5")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [1, 5, 5], 1: [5, 0, 5], 2: [3], 3: [2]}
