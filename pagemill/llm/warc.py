@@ -4,12 +4,13 @@ write(): each worker writes its captures, in the order of URL key and time, to o
 folder, every record a gzip member of its own. Of records with equal payloads of MIN_REVISIT bytes or more,
 that with the largest page_id is a response and the others are revisits, which hold no payload.
 index(): each archive is read back and checked, and gives one sorted run of capture lines.
-merge(): the runs are merged by URL key and time through a loser tree. Split points, taken from a bounded
-sample of the lines, deal the key space to tasks; each opens every run at its first line by a sparse
-index beside the run. A task that meets more than FAN_IN runs merges them in several passes.
+merge(): the runs are merged by URL key and time through loser trees. As long as there are more than FAN_IN runs, groups of
+FAN_IN become one run each, a task a group. Then split points, taken from a bounded sample of the lines, deal the key
+space to tasks, which open each of the last runs at their first line by a sparse index beside it. So no task
+opens more than FAN_IN runs at once, and all of them open the more by the number of passes only.
 
 Null html is an empty payload, a null url an empty key. Rows that repeat a page_id are records of their own;
-of several rows with the largest page_id of a payload, each is a response.
+of several rows with the largest page_id of a payload, each is a response. Columns other than page_id, url and html are left out.
 Times, which `pages` lacks, are a fixed epoch plus page_id seconds.
 """
 
@@ -275,17 +276,27 @@ def _lines(store, path: str, low: tuple | None, high: tuple | None) -> Iterator[
 
 
 def merge_range(store, where: str, runs: list[str], low: tuple | None, high: tuple | None) -> Iterator[str]:
-    """The lines of all runs in one key range, in order."""
-    while len(runs) > FAN_IN:
-        name = f"{uuid.uuid4().hex}.run"
-        out = _RunWriter(store, f"{where}/{name}")
-        for line in LoserTree([_lines(store, f"{where}/{r}", low, high) for r in runs[:FAN_IN]]):
-            out.add(line)
-        out.close()
-        runs = [*runs[FAN_IN:], name]
+    """The lines of FAN_IN runs or fewer in one key range, in order."""
     yield from LoserTree([_lines(store, f"{where}/{r}", low, high) for r in runs])
 
 
+def _group(folder: str):
+    """One run of each FAN_IN runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, where = _store(folder)
+        names = [n for b in batches for n in b.column(0).to_pylist()]
+        for low in range(0, len(names), FAN_IN):
+            name = f"{uuid.uuid4().hex}.run"
+            out = _RunWriter(store, f"{where}/{name}")
+            for line in merge_range(store, where, names[low : low + FAN_IN], None, None):
+                out.add(line)
+            out.close()
+            yield pa.RecordBatch.from_pydict({"run": [name]})
+
+    return run
+
+
 def _merge(folder: str, runs: list[str], splits: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, where = _store(folder)
@@ -317,7 +328,11 @@ def merge(runs: DataFrame, folder: str, ranges: int) -> DataFrame:
     """All captures, in order by (merge_range, merge_pos): by URL key, time and page_id."""
     spark = runs.sparkSession
     ship(spark)
-    names = [r.run for r in runs.select("run").distinct().orderBy("run").collect()]  # one for each archive
+    left = runs.select("run").distinct()
+    # Partitions of a range hold FAN_IN runs or about as many; the last names are FAN_IN at most.
+    while (n := left.count()) > FAN_IN:
+        left = stage(left.repartitionByRange(-(-n // FAN_IN), "run").mapInArrow(_group(folder), "run string"), "groups")
+    names = sorted(r.run for r in left.collect())
     keys = runs.orderBy(F.xxhash64("run", "url_key", "ts", "page_id")).limit(SAMPLE).select("url_key", "ts", "page_id", "lines").collect()
     weighted = sorted((r.url_key, r.ts, r.page_id, r.lines) for r in keys)
     total, seen, splits = sum(w[3] for w in weighted), 0, []

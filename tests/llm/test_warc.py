@@ -56,3 +56,9 @@ def test_loser_tree():
 
 def test_empty(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_odd_rows(spark):
+    rows = [(None, "http://a.org/x", "n" * 1200, 1), (None, "http://a.org/x", "n" * 1200, 2), (5, "http://a.org/x", "n" * 1200, 3), (6, "http://a.org/y", "long " * 400_000, 4)]
+    got = warc.archive(spark.createDataFrame(rows, SCHEMA + ", url_key int").repartition(2)).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in got) == [(0, 1200, "response"), (0, 1200, "response"), (5, 1200, "response"), (6, 2_000_000, "response")]
