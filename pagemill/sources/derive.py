@@ -62,9 +62,8 @@ BOXES = """d_boxes AS (
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into pieces of 200 characters, in order."""
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    n = F.floor((F.length("text") + 199) / 200)
-    rows = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("pos"))
-    return rows.select("doc_id", "pos", F.substr("text", (F.col("pos") * 200 + 1).cast("int"), F.lit(200)).alias("text"))
+    rows = table(spark, sf, "documents").where("length(text) > 0")
+    return rows.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit("(?s).{1,200}"), F.lit(0))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
 PIECES = """d_cand AS (
