@@ -49,9 +49,17 @@ def bounding(points: Column) -> Column:
     return F.struct(left.alias("x"), top.alias("y"), (F.array_max(xs) - left).alias("w"), (F.array_max(ys) - top).alias("h"))
 
 
-def affine(m: dict[str, float], x: Column, y: Column) -> tuple[Column, Column]:
-    return x * m["a"] + y * m["c"] + m["e"], x * m["b"] + y * m["d"] + m["f"]
-
-
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
+def to_page(raw: Column, rotation: Column, width: Column, height: Column, back: bool = False) -> Column:
+    """A raw box (from the lower left of the page before it is turned) as a box of the page as it is shown, width by height, from the upper left; or back."""
+    turned = rotation.isin(90, 270)
+    across, up = F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+    quarter = lambda a, b, c, d: F.when(rotation == 0, a).when(rotation == 90, b).when(rotation == 180, c).otherwise(d)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = {"a": quarter(one, zero, -one, zero), "b": quarter(zero, one, zero, -one), "c": quarter(zero, one, zero, -one), "d": quarter(-one, zero, one, zero)}
+    if back:
+        shift = quarter(zero, zero, across, across), quarter(up, zero, zero, up)
+    else:
+        shift = quarter(zero, zero, across, up), quarter(up, zero, zero, across)
+    place = lambda x, y: F.struct((x * m["a"] + y * m["c"] + shift[0]).alias("x"), (x * m["b"] + y * m["d"] + shift[1]).alias("y"))
+    right, bottom = raw["x"] + raw["w"], raw["y"] + raw["h"]
+    return bounding(F.array(*[place(x, y) for x in (raw["x"], right) for y in (raw["y"], bottom)]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..staging import staged
 from .walk import walk
 
 # Fixed values of the matching rules.
@@ -70,10 +71,12 @@ TEXT_OVERLAP = 0.5
 def text_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, overlap for all pairs of (a, words) and (b, words) that share TEXT_OVERLAP or more of the smaller set.
 
-    Such a pair shares one of the rarest words of the smaller set, those that remain without the needed number, plus one.
-    So candidates meet on rare words only, and are verified on the sets.
+    Such a pair shares one of the rarest words of the smaller set, those that remain without the needed number, plus one;
+    and the rarest word they share has as many of the larger set's behind it. So candidates meet on rare words only, and are
+    verified on the sets. Words go by 64-bit hashes, which are made once.
     """
-    left, right = (t.withColumn("_k", F.size("words")).where("_k > 0") for t in (left, right))
+    hashed = lambda t: F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    left, right = (staged(t.withColumn("words", hashed(t)).withColumn("_k", F.size("words")).where("_k > 0"), "words") for t in (left, right))
     every = left.select(F.explode("words").alias("w")).union(right.select(F.explode("words")))
     counts = every.groupBy("w").agg(F.count("*").alias("_n"))
 
@@ -83,8 +86,9 @@ def text_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
     x, y = ranked(left, "a"), ranked(right, "b")
     rare = lambda t: t.where(F.col("_r") <= F.col("_k") - F.ceil(TEXT_OVERLAP * F.col("_k")) + 1)
-    one = rare(y).select("b", "w", F.col("_k").alias("kb")).join(x.select("a", "w", "_k"), "w").where("_k >= kb")
-    two = rare(x).select("a", "w", "_k").join(y.select("b", "w", F.col("_k").alias("kb")), "w").where("_k < kb")
+    behind = lambda k, small, r: F.col(r) <= F.col(k) - F.ceil(TEXT_OVERLAP * F.col(small)) + 1
+    one = rare(y).select("b", "w", F.col("_k").alias("kb")).join(x.select("a", "w", "_k", "_r"), "w").where(F.col("_k") >= F.col("kb")).where(behind("_k", "kb", "_r"))
+    two = rare(x).select("a", "w", "_k").join(y.select("b", "w", F.col("_k").alias("kb"), "_r"), "w").where(F.col("_k") < F.col("kb")).where(behind("kb", "_k", "_r"))
     met = one.select("a", "b").union(two.select("a", "b")).distinct()
     both = met.join(left.select("a", F.col("words").alias("wa")), "a").join(right.select("b", F.col("words").alias("wb")), "b")
     share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))

@@ -28,6 +28,14 @@ def iou_pairs(spark, sf):
     return rows.select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round("iou", 5).alias("iou"))
 
 
+@query(f"WITH {_PAIRS} SELECT page, a, b, iou >= 0.4::DOUBLE AS by_overlap, inside >= 0.7::DOUBLE AS by_containment FROM q WHERE iou >= 0.4::DOUBLE OR inside >= 0.7::DOUBLE")
+def overlap_pairs(spark, sf):
+    """Boxes of any labels that show one region: they overlap, or one holds the other."""
+    rows = M.pairs(D.boxes(spark, sf)).where(M.match_score(ignore_label=True) > 0)
+    inside = F.greatest(G.containment("a_", "b_"), G.containment("b_", "a_"))
+    return rows.select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), (G.iou("a_", "b_") >= M.MATCH_IOU).alias("by_overlap"), (inside >= M.MATCH_CONTAINMENT).alias("by_containment"))
+
+
 @query(f"WITH {_PAIRS} SELECT page, a, b, round(score, 5)::DOUBLE AS score FROM s WHERE score > 0")
 def evidence_match(spark, sf):
     return _scored(spark, sf).select("page", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round("score", 5).alias("score"))

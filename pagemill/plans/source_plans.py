@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..sources import adapters as A
 from ..sources import derive as D
+from ..sources import model as M
 from .layout_plans import _FONT, _ZONED, _zoned
 from .registry import query
 
@@ -28,12 +29,30 @@ def block_adapter(spark, sf):
     """Blocks by corners; figures have no box in the dump, so they are dropped."""
     b = D.boxes(spark, sf)
     corners = F.when(F.col("label") != "FIGURE", F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")))
-    block = F.struct(F.when(F.col("label") == "TABLE", "interline_equation").otherwise("text").alias("type"), corners.alias("bbox"), F.col("box_id").cast("string").alias("text"))
+    block = F.struct(F.when(F.col("label") == "TABLE", "equation").otherwise("text").alias("type"), corners.alias("bbox"), F.col("box_id").cast("string").alias("text"))
     dumps = b.groupBy("page").agg(F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("page_idx"), F.collect_list(block).alias("para_blocks"))).alias("pdf_info"))).alias("json"))
     rows = A.block_regions(dumps.withColumnRenamed("page", "doc_id"))
     return rows.select(F.col("doc_id").alias("page"), F.col("text").cast("long").alias("box_id"), F.round("w", 6).alias("w"), F.round("h", 6).alias("h"), "confidence")
 
 
+@query(f"WITH {D.BOXES} SELECT page, box_id, page % 3 AS on_page, 'FORMULA' AS type, 'x' || box_id AS text, 0.8::DOUBLE AS confidence FROM d_boxes WHERE label = 'TABLE' UNION ALL SELECT page, box_id, page % 3, 'REGION', 'a ' || box_id, 0.82 FROM d_boxes WHERE label = 'TEXT'")
+def block_layouts(spark, sf):
+    """The three layouts of dumps: pages (here the second or third is the one with blocks), a middle part, and bare blocks, whose pages are the first."""
+    b = D.boxes(spark, sf)
+    n = F.col("box_id").cast("string")
+    corners = F.when(F.col("label") != "FIGURE", F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")))
+    lines = F.array(F.struct(F.array(F.struct(F.lit("a").alias("content")), F.struct(n.alias("content"))).alias("spans")))
+    formula = F.col("label") == "TABLE"
+    block = F.struct(F.when(formula, "display_formula").alias("type"), F.when(~formula, "text").alias("label"), corners.alias("bbox"), F.when(formula, F.concat(F.lit(" x"), n)).alias("latex"), F.when(~formula, lines).alias("lines"), n.alias("mathml"))
+    held = b.groupBy("page").agg(F.collect_list(block).alias("blocks"))
+    three = F.col("page") % 3
+    page = lambda i, blocks: F.struct(F.lit(i).alias("page_idx"), blocks.alias("para_blocks"))
+    json = F.when(three == 0, F.to_json(F.struct(F.col("blocks").alias("para_blocks")))).when(three == 1, F.to_json(F.struct(F.array(page(0, F.slice("blocks", 1, 0)), page(1, F.col("blocks"))).alias("pdf_info")))).otherwise(F.to_json(F.struct(F.array(page(2, F.col("blocks"))).alias("pdf_info"))))
+    rows = A.block_regions(held.select(F.col("page").alias("doc_id"), json.alias("json")))
+    number = F.regexp_extract("text", "([0-9]+)$", 1).cast("long")
+    return rows.select(F.col("doc_id").alias("page"), number.alias("box_id"), F.col("page").alias("on_page"), "type", "text", "confidence")
+
+
 @query("""SELECT r_regionkey::BIGINT AS doc_id, 'title' AS name, r_name AS value FROM region UNION ALL SELECT n_regionkey, 'author', string_agg(n_name, ', ' ORDER BY n_name) FROM nation GROUP BY n_regionkey""")
 def scholarly_adapter(spark, sf):
     names = D.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("n_name")).alias("authors"))
@@ -41,20 +60,70 @@ def scholarly_adapter(spark, sf):
     return A.scholarly_metadata(dumps)
 
 
-@query("SELECT r_regionkey::BIGINT AS doc_id, 'title' AS name, r_name AS value FROM region UNION ALL SELECT n_regionkey, 'head', n_name FROM nation")
+@query("SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'ABSTRACT' WHEN 1 THEN 'REFERENCES' ELSE 'SECTION' END AS role, (p_size % 3)::BIGINT AS page, p_name AS text, CASE WHEN p_partkey % 2 = 0 THEN p_size END::DOUBLE AS x FROM part")
+def scholarly_sections(spark, sf):
+    p = F.col("p_partkey")
+    section = F.struct(F.when(p % 4 == 0, " Abstract").when(p % 4 == 1, "bibliography").when(p % 4 == 2, "odd").otherwise("").alias("role"), F.col("p_name").alias("text"), (F.col("p_size") % 3).alias("page_idx"), F.when(p % 2 == 0, F.array(F.col("p_size"), F.lit(1), F.lit(9), F.lit(9))).alias("bbox"))
+    dumps = D.table(spark, sf, "part").select(p.alias("doc_id"), F.to_json(F.struct(F.array(section).alias("sections"))).alias("json"))
+    return A.scholarly_sections(dumps).select("doc_id", "role", "page", "text", "x")
+
+
+@query("""SELECT r_regionkey::BIGINT AS doc_id, 'title' AS name, r_name AS value FROM region UNION ALL SELECT n_regionkey, 'head', n_name FROM nation UNION ALL SELECT r_regionkey, 'author', 'Ann A ' || r_name || ', B & C' FROM region
+UNION ALL SELECT r_regionkey, 'abstract', 'Of ' || r_name FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT r_regionkey, 'references', 'References' FROM region WHERE r_regionkey % 2 = 1""")
 def tei_adapter(spark, sf):
     heads = D.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<div><head>"), "n_name", F.lit("</head></div>")))).alias("body"))
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>'), "r_name", F.lit("</title></titleStmt></teiHeader><text><body>"), "body", F.lit("</body></text></TEI>"))
+    name = F.concat(F.lit("<persName><forename>Ann</forename> <forename>A</forename><surname>"), "r_name", F.lit("</surname></persName><persName>B &amp; C</persName>"))
+    even = F.col("r_regionkey") % 2 == 0
+    xml = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), "r_name", F.lit("</title></titleStmt><sourceDesc>"), name, F.lit("</sourceDesc></fileDesc>"),
+        F.when(even, F.concat(F.lit("<profileDesc><abstract><p>Of</p><p>"), "r_name", F.lit("</p></abstract></profileDesc>"))).otherwise(""), F.lit("</teiHeader><text><body>"), "body", F.lit("</body>"), F.when(~even, "<back><listBibl/></back>").otherwise(""), F.lit("</text></TEI>"),
+    )
     return A.tei_metadata(D.table(spark, sf, "region").join(heads, "r_regionkey").select(F.col("r_regionkey").cast("long").alias("doc_id"), xml.alias("xml")))
 
 
-@query(f"WITH {D.BOXES} SELECT page, box_id, round(600 - y - h, 6) AS x, round(x, 6) AS y, round(h, 6) AS w, round(w, 6) AS h FROM d_boxes")
+@query(f"""WITH {M.ctes('m_regions')}, t AS (SELECT page, n, part, text FROM m_regions) SELECT page AS doc, 0::BIGINT AS tab, n AS row, part % 3 AS col, 1 + part % 2 AS row_span, 1::BIGINT AS col_span, text FROM t WHERE page % 2 = 0
+UNION ALL SELECT DISTINCT page, 0, 0, 0, 1, 2, 'wide' FROM t WHERE page % 2 = 1 UNION ALL SELECT DISTINCT page, 0, 1, x, 1, 1, 'c' || x FROM t, range(2) r(x) WHERE page % 2 = 1""")
+def docling_cells(spark, sf):
+    """Cells that a dump lists, and those of a grid whose first cell is two columns wide and stands in both."""
+    return A.table_cells(_tables(spark, sf))
+
+
+@query(f"""WITH {M.ctes('m_regions')} SELECT page AS doc, 0::BIGINT AS tab, page % 5 AS page, 5::DOUBLE AS x, 700::DOUBLE AS y, CASE WHEN page % 2 = 1 THEN 2 WHEN page % 4 = 0 THEN 77 ELSE max(n + 1 + part % 2) END::BIGINT AS n_rows, CASE WHEN page % 2 = 1 THEN 2 ELSE max(part % 3 + 1) END::BIGINT AS n_columns FROM m_regions GROUP BY page""")
+def docling_tables(spark, sf):
+    return A.docling_tables(_tables(spark, sf), 800.0).select("doc", "tab", "page", "x", "y", "n_rows", "n_columns")
+
+
+def _tables(spark, sf):
+    p, n = F.col("part"), F.col("n")
+    cell = F.struct(n.alias("start_row_offset_idx"), (p % 3).cast("string").alias("column"), (n + 1 + p % 2).cast("double").alias("end_row_offset_idx"), F.lit(True).alias("col_span"), "text")
+    own = M.df(spark, sf, "m_regions").groupBy("page").agg(F.collect_list(cell).alias("cells"))
+    wide = F.struct(F.lit(0).alias("start_row_offset_idx"), F.lit(0).alias("start_col_offset_idx"), F.lit(2).alias("col_span"), F.lit("wide").alias("text"))
+    small = lambda x: F.struct(F.lit(None).cast("int").alias("start_row_offset_idx"), F.lit(None).cast("int").alias("start_col_offset_idx"), F.lit(None).cast("int").alias("col_span"), F.lit(f"c{x}").alias("text"))
+    place = F.array(F.struct((F.col("page") % 5 + 1).alias("page_no"), F.struct(F.lit(5).alias("l"), F.lit(100).alias("t"), F.lit(50).alias("r"), F.lit(10).alias("b"), F.lit("bottom-left").alias("coord_origin")).alias("bbox")))
+    listed = F.to_json(F.struct(F.array(F.struct(place.alias("prov"), F.struct(F.col("cells").alias("table_cells"), F.when(F.col("page") % 4 == 0, "77").alias("num_rows")).alias("data"))).alias("tables")))
+    grid = F.to_json(F.struct(F.array(F.struct(place.alias("prov"), F.array(F.array(wide, wide), F.array(small(0), small(1))).alias("grid"))).alias("tables")))
+    return own.select(F.col("page").alias("doc_id"), F.when(F.col("page") % 2 == 0, listed).otherwise(grid).alias("json"))
+
+
+# Each fourth box on a page turned by a further quarter; displayed pages are 560 by 600.
+_TURN = "CASE box_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
+
+
+@query(f"""WITH {D.BOXES}, r AS (SELECT page, box_id, {_TURN.format('x', 'y', '560 - x - w', '560 - y - h')} AS x, {_TURN.format('600 - y - h', 'x', 'y', '600 - x - w')} AS y, {_TURN.format('w', 'h', 'w', 'h')} AS w, {_TURN.format('h', 'w', 'h', 'w')} AS h FROM d_boxes)
+SELECT page, box_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM r""")
 def rotated_pages(spark, sf):
-    """Pages turned by a quarter: the affine map of all corners, and the box around them."""
-    m = {"a": 0.0, "b": 1.0, "c": -1.0, "d": 0.0, "e": 600.0, "f": 0.0}
-    right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
-    points = F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in (G.affine(m, x, y) for x in (F.col("x"), right) for y in (F.col("y"), bottom))])
-    return D.boxes(spark, sf).select("page", "box_id", G.bounding(points).alias("r")).select("page", "box_id", *(F.round(f"r.{c}", 6).alias(c) for c in "xywh"))
+    """Raw boxes to pages as they are shown: the affine map of all corners by the page's rotation, and the box around them."""
+    raw = G.to_page(F.struct("x", "y", "w", "h"), F.col("box_id") % 4 * 90, F.lit(560.0), F.lit(600.0))
+    return D.boxes(spark, sf).select("page", "box_id", raw.alias("r")).select("page", "box_id", *(F.round(f"r.{c}", 6).alias(c) for c in "xywh"))
+
+
+@query(f"WITH {D.BOXES} SELECT page, box_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM d_boxes")
+def unrotated_boxes(spark, sf):
+    """Boxes shown and taken back to raw coordinates are the same."""
+    turn = F.col("box_id") % 4 * 90
+    there = G.to_page(F.struct("x", "y", "w", "h"), turn, F.lit(560.0), F.lit(600.0))
+    rows = D.boxes(spark, sf).select("page", "box_id", there.alias("r")).select("page", "box_id", G.to_page(F.col("r"), turn, F.lit(560.0), F.lit(600.0), back=True).alias("r"))
+    return rows.select("page", "box_id", *(F.round(f"r.{c}", 6).alias(c) for c in "xywh"))
 
 
 @query(f"""WITH {D.SPANS}, {_FONT}, {_ZONED} SELECT doc_id, page, zone, line_no, row_number() OVER (PARTITION BY doc_id, page, zone ORDER BY y, x, line_no)::BIGINT AS position, 0.7::DOUBLE AS confidence FROM zoned WHERE zone <> 'body'""")

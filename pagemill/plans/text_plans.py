@@ -63,16 +63,21 @@ def author_year_resolve(spark, sf):
     return S.resolved(_cited(spark, sf, "author-year"), S.entry_keys(entries)).where("target IS NOT NULL").select("node", "key", F.col("target").alias("entry"))
 
 
+# Letters and digits that are not ASCII become a digit, so that the ends of words are the same to both engines and phrases stay ASCII.
 _TERM = r"\b[A-Z][a-z]+(?:[- ][A-Za-z][a-z]+\b)+"
 
 
-@query(rf"""WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), ascii AS (SELECT line FROM lines WHERE regexp_matches(line, '^[\x20-\x7E]+$')),
-t AS (SELECT unnest(regexp_extract_all(line, '{_TERM}')) AS phrase FROM ascii), c AS (SELECT phrase, count(*) AS n FROM t WHERE length(phrase) >= 8 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 32) SELECT * FROM c WHERE n >= 2""")
+@query(rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), plain AS (SELECT doc_id, line_no, regexp_replace(line, '[^\x00-\x7F]', '0', 'g') AS line FROM lines),
+t AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{_TERM}')) AS phrase, generate_subscripts(regexp_extract_all(line, '{_TERM}'), 1) - 1 AS k FROM plain),
+c AS (SELECT phrase, count(*) AS n, min({{{{'d': doc_id, 'l': line_no, 'k': k}}}}) AS first FROM t WHERE length(phrase) >= 8 GROUP BY phrase ORDER BY n DESC, first, phrase LIMIT 32) SELECT phrase, n FROM c WHERE n >= 2""".replace("{{", "{").replace("}}", "}"))
 def term_discovery(spark, sf):
-    lines = D.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^[\x20-\x7E]+$"))
+    lines = D.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = F.regexp_replace("line", r"[^\x00-\x7F]", "0")
     # The possessive group keeps the matcher from recursing on long lines.
-    found = lines.select(F.explode(F.regexp_extract_all("line", F.lit(_TERM + "+"), F.lit(0))).alias("phrase")).where("length(phrase) >= 8")
-    return found.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(32).where("n >= 2")
+    found = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(plain, F.lit(_TERM + "+"), F.lit(0))).alias("k", "phrase")).where("length(phrase) >= 8")
+    # Of terms as frequent the one met first.
+    counts = found.groupBy("phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", "k")).alias("first"))
+    return counts.orderBy(F.desc("n"), "first", "phrase").limit(32).where("n >= 2").select("phrase", "n")
 
 
 _TOK = r"list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda t: t <> ''))"

@@ -280,3 +280,28 @@ def test_pages_outside_are_errors(spark):
     assert viewer.pages_at(pages.select("doc", "page_index"), pages).first().page == 70
     with pytest.raises(Exception, match="outside the document"):
         viewer.pages_at(spark.createDataFrame([(1, 4)], "doc long, page_index long"), pages).collect()
+
+
+def test_boxes_of_dumps(spark):
+    from pagemill.sources import adapters
+
+    forms = ['{"x":1,"y":2,"width":3,"height":4}', '{"l":10,"t":90,"r":30,"b":70,"coord_origin":"BOTTOMLEFT"}', '{"l":30,"t":5,"r":10,"b":9}', "[1,2,4,8]", "null"]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, f string").select("i", adapters.box(F.parse_json("f"), F.lit(100.0)).alias("b"))
+    assert [r.b and tuple(r.b) for r in sorted(df.collect(), key=lambda r: r.i)] == [(1, 2, 3, 4), (10, 10, 20, 20), (10, 5, 20, 4), (1, 2, 3, 6), None]
+    for form, height, said in ((forms[1], None, "page's height"), ('{"left":1}', 1.0, "unsupported box"), ("[1,2,3]", 1.0, "unsupported box")):
+        with pytest.raises(Exception, match=said):
+            spark.createDataFrame([(form,)], "f string").select(adapters.box(F.parse_json("f"), F.lit(height).cast("double")).alias("b")).collect()
+
+
+def test_dumps_of_parsers(spark):
+    from pagemill.sources import adapters
+
+    dump = '{"tables":[{"page_idx":1,"bbox":[0,0,9,9],"num_rows":"2","table_cells":[{"row":1,"column":"2","row_span":2,"text":"a"},{"start_row_offset_idx":0,"end_row_offset_idx":0,"text":"b"}]},{"prov":[{"page_no":3}],"bbox":[0,0,1,1],"data":{"grid":[[{"text":"x"},null],[{"row":0,"column":0,"text":"again"},{"text":"y","rowSpan":0}]]}}]}'
+    df = spark.createDataFrame([(1, dump)], "doc_id long, json string")
+    assert rows(adapters.table_cells(df), "tab", "row", "col", "row_span", "text") == [(0, 0, 0, 1, "b"), (0, 1, 2, 2, "a"), (1, 0, 0, 1, "x"), (1, 1, 1, 1, "y")]
+    assert rows(adapters.docling_tables(df, 100.0), "tab", "page", "n_rows", "n_columns") == [(0, 1, 2, 3), (1, 2, 2, 2)]
+    tei = '<TEI><text><front><div type="abstract"><p>Short.</p></div></front><body><head>1 <hi>Big</hi></head><head/></body><back><persName>Only One</persName><div type="references"/></back></text></TEI>'
+    got = adapters.tei_metadata(spark.createDataFrame([(1, tei)], "doc_id long, xml string"))
+    assert [(r.name, r.value) for r in got.collect()] == [("author", "Only One"), ("abstract", "Short."), ("head", "1 Big"), ("references", "References")]
+    people = '{"title":" T ","authors":["A"," ","B"],"abstract":""}'
+    assert rows(adapters.scholarly_metadata(spark.createDataFrame([(1, people)], "doc_id long, json string")), "name", "value") == [("author", "A, B"), ("title", "T")]
