@@ -299,9 +299,9 @@ def merged_fragments(rows: list[dict]) -> Iterator[tuple]:
         yield rows[0]["page"], n, left, top, right - left, bottom - top, text, font
 
 
-def merge_fragments(fragments: DataFrame) -> DataFrame:
+def merge_fragments(fragments: DataFrame, page_type: str = "long") -> DataFrame:
     """fragments: page, seq, x, y, w, h, text, font."""
-    return walk(fragments, ["page"], ["seq"], merged_fragments, "page long, line long, x double, y double, w double, h double, text string, font double")
+    return walk(fragments, ["page"], ["seq"], merged_fragments, f"page {page_type}, line long, x double, y double, w double, h double, text string, font double")
 
 
 def split_cells(rows: list[dict]) -> Iterator[tuple]:
@@ -323,9 +323,9 @@ def split_cells(rows: list[dict]) -> Iterator[tuple]:
         yield rows[0]["rect"], n, left, right - left, text
 
 
-def cells_of_rects(chars: DataFrame) -> DataFrame:
+def cells_of_rects(chars: DataFrame, rect_type: str = "long") -> DataFrame:
     """chars: rect, seq, char, x, w, font."""
-    return walk(chars, ["rect"], ["seq"], split_cells, "rect long, piece long, x double, w double, text string")
+    return walk(chars, ["rect"], ["seq"], split_cells, f"rect {rect_type}, piece long, x double, w double, text string")
 
 
 def _lines(rows: list[dict]) -> list[list[dict]]:

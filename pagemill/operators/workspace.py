@@ -7,6 +7,7 @@ import time
 import tomllib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +119,38 @@ def committed(spark: SparkSession, root: str, stage: str) -> DataFrame | None:
     return spark.read.parquet(last["path"]) if last and last["path"] else None
 
 
+def publish(spark: SparkSession, parts: dict[str, DataFrame], root: str, expected: int | None) -> int:
+    """Writes all tables of a new revision, then a pointer row to it; refused when the last revision is not the expected one (None: none yet).
+    Until the pointer is there, readers see the revision before; the tables of that one stay."""
+    root = root.rstrip("/")
+    if revision(spark, root) != expected:
+        raise ValueError(f"not the expected revision: {expected}")
+    number, target = (expected or 0) + 1, f"{root}/revisions/{uuid.uuid4().hex}"
+    for name, rows in parts.items():
+        rows.write.parquet(f"{target}/{name}")
+    spark.createDataFrame([(target, time.time())], "path string, at double").coalesce(1).write.mode("errorifexists").parquet(f"{root}/pointers/revision={number}")
+    return number
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/pointers")
+    except AnalysisException:
+        return None
+
+
+def revision(spark: SparkSession, root: str) -> int | None:
+    """The last published revision, or None."""
+    rows = _pointers(spark, root)
+    return rows.agg(F.max("revision")).first()[0] if rows is not None else None
+
+
+def published(spark: SparkSession, root: str, name: str, back: int = 0) -> DataFrame:
+    """A table of the last revision, or of one further back."""
+    last = _pointers(spark, root).where(F.col("revision") == revision(spark, root) - back).select("path").first()
+    return spark.read.parquet(f"{last['path']}/{name}")
+
+
 def bindings(manifests: DataFrame, accept: bool = False) -> DataFrame:
     """manifests: workspace, version, recorded, actual, stages (array). workspace, action: refused with why, rebind (all records go) or keep."""
     strange = F.exists("stages", lambda s: ~s.isin(*STAGES))
@@ -164,6 +197,12 @@ def retries(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("job_id", status.alias("status"), (F.col("attempt") + 1).alias("attempt"))
 
 
+def recovered(jobs: DataFrame, locks: DataFrame) -> DataFrame:
+    """jobs as records, locks: workspace, of those still held. Running jobs whose workspace nobody holds, queued again as they were."""
+    lost = jobs.where("status = 'running'").join(locks.select("workspace").distinct(), "workspace", "left_anti")
+    return lost.select("job_id", "workspace", "attempt", F.lit("queued").alias("status"))
+
+
 def failure_issues(failures: DataFrame) -> DataFrame:
     """failures: job_id, stage (null before any), error. Recoverable errors of the stage's category, or fatal ones."""
     table = F.create_map(*[F.lit(x) for kv in STAGE_ISSUES.items() for x in kv])

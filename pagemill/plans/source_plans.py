@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources import adapters as A
 from ..sources import derive as D
 from ..sources import model as M
+from ..sources import scan as P
 from .layout_plans import _FONT, _ZONED, _zoned
 from .registry import query
 
@@ -146,3 +148,38 @@ def fullest_page(spark, sf):
     counts = D.spans(spark, sf).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("page")).alias("p"))).alias("b"))
     return best.select("doc_id", (-F.col("b.p")).alias("fullest_page"), F.col("b.n").alias("n_spans"))
+
+
+def _pages(b, *more):
+    return b.select(F.lit("f0").alias("source"), "page", F.lit(560.0).alias("width"), F.lit(600.0).alias("height"), (F.col("page") % 4 * 90).alias("rotation"), *more).distinct()
+
+
+@query(f"""WITH {D.BOXES}, kept AS (SELECT page, box_id, CASE WHEN label = 'FIGURE' THEN 'image' ELSE 'vector' END AS kind, x, y, w, h FROM d_boxes WHERE label <> 'TEXT' AND box_id % 20 <= 16 AND box_id % 7 <> 0 AND w > 0 AND h > 0),
+n AS (SELECT *, (row_number() OVER (PARTITION BY page, kind ORDER BY box_id) - 1)::BIGINT AS n FROM kept),
+i AS (SELECT *, sha256(concat_ws(chr(31), 'f0', kind, page, n)) AS s FROM n)
+SELECT page, box_id, kind, n, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-' || substr(s, 13, 4) || '-' || substr(s, 17, 4) || '-' || substr(s, 21, 12) AS object, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM (
+  SELECT i.* REPLACE (CASE page % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 560 - x - w ELSE 560 - y - h END AS x, CASE page % 4 WHEN 0 THEN 600 - y - h WHEN 1 THEN x WHEN 2 THEN y ELSE 600 - x - w END AS y,
+    CASE WHEN page % 2 = 1 THEN h ELSE w END AS w, CASE WHEN page % 2 = 1 THEN w ELSE h END AS h) FROM i)""")
+def drawn_objects(spark, sf):
+    """Figures as images, tables as paths, others as forms; some too deep, some without a height."""
+    b = D.boxes(spark, sf)
+    kind = F.when(F.col("label") == "FIGURE", "image").when(F.col("label") == "TEXT", "form").otherwise("path")
+    top = F.col("y") + F.when(F.col("box_id") % 7 == 0, 0.0).otherwise(F.col("h"))
+    rows = b.select(F.lit("f0").alias("source"), "page", F.col("box_id").alias("seq"), (F.col("box_id") % 20).alias("depth"), kind.alias("type"), F.col("x").alias("left"), F.col("y").alias("bottom"), (F.col("x") + F.col("w")).alias("right"), top.alias("top"))
+    found = P.drawn(rows, _pages(b))
+    number = F.row_number().over(Window.partitionBy("page", "kind").orderBy("box_id")).cast("long") - 1
+    named = rows.where("type <> 'form' AND depth <= 16 AND top > bottom AND right > left").select("page", F.when(F.col("type") == "image", "image").otherwise("vector").alias("kind"), F.col("seq").alias("box_id")).withColumn("n", number)
+    return found.join(named, ["page", "kind", "n"]).select("page", "box_id", "kind", "n", "object", *(F.round(c, 6).alias(c) for c in "xywh"))
+
+
+@query()
+def physical_objects(spark, sf):
+    """Rectangles of text side by side with characters at five points each and a wide gap after each eighth, and the boxes as drawn objects."""
+    r = M.df(spark, sf, "m_regions")
+    left = F.col("n") * 400 + F.col("part") % 9
+    rects = r.select(F.lit("f0").alias("source"), "page", F.col("n").alias("rect"), left.cast("double").alias("left"), (F.col("part") % 5 * 3).cast("double").alias("bottom"), (left + 390).cast("double").alias("right"), (F.col("part") % 5 * 3 + 10).cast("double").alias("top"), "text")
+    chars = rects.select("source", "page", "rect", "left", F.posexplode(F.split("text", "")).alias("seq", "char")).withColumn("x", F.col("left") + F.col("seq") * 5 + F.expr("seq div 8") * 31).withColumn("w", F.lit(5.0))
+    b = D.boxes(spark, sf)
+    objects = b.select(F.lit("f0").alias("source"), "page", F.col("box_id").alias("seq"), F.lit(1).alias("depth"), F.when(F.col("label") == "FIGURE", "image").otherwise("path").alias("type"), F.col("x").alias("left"), F.col("y").alias("bottom"), (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("top"))
+    pages = _pages(b.select("page").union(r.select("page")))
+    return P.physical_objects(rects, chars, objects, pages)

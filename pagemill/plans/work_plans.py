@@ -238,6 +238,13 @@ def job_claims(spark, sf):
     return claimed.withColumn("job_id", F.col("job_id").cast("string"))
 
 
+@query(f"WITH {_JOBS} SELECT event_id::VARCHAR AS job_id, workspace, attempt, 'queued' AS status FROM jobs WHERE status = 'running' AND workspace % 7 <> 0")
+def job_recoveries(spark, sf):
+    """Every seventh workspace is still held by a worker."""
+    jobs = _jobs(spark, sf).withColumn("job_id", F.col("event_id").cast("string"))
+    return K.recovered(jobs, jobs.where("workspace % 7 = 0").select("workspace"))
+
+
 @query(f"WITH {_JOBS} SELECT event_id, 'queued' AS status, attempt + 1 AS attempt FROM jobs WHERE status = 'failed'")
 def job_retries(spark, sf):
     jobs = _jobs(spark, sf).drop("job_id").withColumnRenamed("event_id", "job_id")

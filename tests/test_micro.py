@@ -305,3 +305,30 @@ def test_dumps_of_parsers(spark):
     assert [(r.name, r.value) for r in got.collect()] == [("author", "Only One"), ("abstract", "Short."), ("head", "1 Big"), ("references", "References")]
     people = '{"title":" T ","authors":["A"," ","B"],"abstract":""}'
     assert rows(adapters.scholarly_metadata(spark.createDataFrame([(1, people)], "doc_id long, json string")), "name", "value") == [("author", "A, B"), ("title", "T")]
+
+
+def test_a_page_is_scanned(spark):
+    from pagemill.sources import scan
+
+    pages = spark.createDataFrame([("s", 0, 200.0, 100.0, 0)], "source string, page int, width double, height double, rotation int")
+    rects = spark.createDataFrame([("s", 0, 0, 10.0, 80.0, 30.0, 90.0, "ab c"), ("s", 0, 1, 32.0, 80.0, 42.0, 90.0, "de"), ("s", 0, 2, 0.0, 0.0, 5.0, 5.0, " \n")], "source string, page int, rect int, left double, bottom double, right double, top double, text string")
+    chars = [("s", 0, 0, i, c, x, 5.0) for i, (c, x) in enumerate(zip("ab c", (10.0, 15.0, 20.0, 60.0)))] + [("s", 0, 1, i, c, 67.0 + 5 * i, 5.0) for i, c in enumerate("de")]
+    chars = spark.createDataFrame(chars, "source string, page int, rect int, seq int, char string, x double, w double")
+    objects = [("s", 0, 0, 1, "path", 0.0, 0.0, 9.0, 9.0), ("s", 0, 1, 17, "image", 0.0, 0.0, 9.0, 9.0), ("s", 0, 2, 16, "image", 5.0, 5.0, 9.0, 9.0), ("s", 0, 3, 1, "image", 5.0, 5.0, 5.0, 9.0), ("s", 0, 4, 1, "path", None, None, None, None), ("s", 0, 5, 1, "form", 0.0, 0.0, 9.0, 9.0)]
+    objects = spark.createDataFrame(objects, "source string, page int, seq int, depth int, type string, left double, bottom double, right double, top double")
+    got = sorted(scan.physical_objects(rects, chars, objects, pages).collect(), key=lambda r: r.position)
+    assert [(r.kind, r.n, r.x, r.y, r.w, r.h, r.text, r.font) for r in got] == [("text", 0, 10, 10, 10, 10, "ab", 10), ("text", 1, 60, 10, 17, 10, "c de", 10), ("image", 0, 5, 91, 4, 4, None, None), ("vector", 0, 0, 91, 9, 9, None, None)]
+    assert len({r.object for r in got}) == 4
+
+
+def test_revisions(spark, tmp_path):
+    from pagemill.operators import workspace as K
+
+    root, rows = str(tmp_path), lambda n: {"nodes": spark.range(n)}
+    assert K.revision(spark, root) is None and K.publish(spark, rows(1), root, None) == 1 and K.publish(spark, rows(2), root, 1) == 2
+    for stale in (None, 1, 3):
+        with pytest.raises(ValueError):
+            K.publish(spark, rows(9), root, stale)
+    with pytest.raises(Exception):
+        K.publish(spark, {"nodes": spark.range(3), "bad": spark.range(1).select(F.raise_error(F.lit("no")))}, root, 2)
+    assert K.revision(spark, root) == 2 and K.published(spark, root, "nodes").count() == 2 and K.published(spark, root, "nodes", 1).count() == 1
