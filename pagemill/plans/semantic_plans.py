@@ -172,9 +172,9 @@ def section_tree(spark, sf):
     return T.sections(S.with_heading(_flow(spark, sf)), ["doc"], "pos").select("doc", "pos", "section")
 
 
-@query(f"WITH {M.ctes('m_nodes')} SELECT parent, string_agg(node, ',' ORDER BY pos, node) AS children FROM m_nodes WHERE parent IS NOT NULL GROUP BY parent")
+@query(f"WITH {M.ctes('m_nodes')} SELECT doc, parent, string_agg(node, ',' ORDER BY pos, node) AS children FROM m_nodes WHERE parent IS NOT NULL GROUP BY doc, parent")
 def child_lists(spark, sf):
-    return T.children(M.df(spark, sf, "m_nodes"), ["doc"]).groupBy("parent").agg(F.array_join(F.flatten(F.collect_list("children")).cast("array<string>"), ",").alias("children"))
+    return T.children(M.df(spark, sf, "m_nodes"), ["doc"]).select("doc", "parent", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
 # Chains of up to twelve nodes; every fifth chain closes on itself.
