@@ -24,6 +24,19 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers stay, and the next stage's run beside them."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

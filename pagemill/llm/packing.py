@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stage, table
+from .common import ship, stage, table, trim
 
 CAPACITY = 2048
 #: Pieces are not cut finer than this.
 GRAIN = 64
 END_ID = 1
 #: Words, and parts of words, of a generation whose ids a worker remembers, and characters that are encoded at once.
-MEMORY, PARTS, CHUNK = 200_000, 200_000, 8 << 20
+MEMORY, PARTS, CHUNK = 120_000, 120_000, 4 << 20
 
 PIECE = [
     T.StructField("start", T.LongType()),
@@ -221,6 +221,7 @@ def _worker(path: str, schema: T.StructType, text: str, end_id: int):
         left = [(m, (*r, None, None, k, exact, me, slot, ids)) for (k, exact), one in open_bins.items() for slot, (m, r, ids) in enumerate(one)]
         if left:
             yield out([x[0] for x in left], [x[1] for x in left])
+        trim()
 
     return run
 

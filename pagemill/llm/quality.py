@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table
+from .common import ship, table, trim
 
 #: Lengths of the n-grams whose repetition is measured, each with the share of a text's
 #: characters that may lie in later occurrences of its n-grams.
@@ -169,6 +169,7 @@ def _run(column: str, names: list[str]):
                 kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.int64() for f in MEASURES]
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(found[f.name], k) for f, k in zip(MEASURES, kinds, strict=True))], names=names)
                 at += len(block)
+        trim()
 
     return run
 
