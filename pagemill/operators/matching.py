@@ -50,7 +50,7 @@ def weight(provider: Column, label: Column) -> Column:
 def vote(boxes: DataFrame) -> DataFrame:
     """The label of each page with the greatest sum of confidence by authority; of equal sums the later name."""
     sums = boxes.groupBy("page", "label").agg(F.round(F.sum(F.col("confidence") * weight(F.col("provider"), F.col("label"))), 6).alias("total"))
-    return sums.groupBy("page").agg(F.max(F.struct("total", "label")).alias("best"), F.sum("total").alias("_all")).select("page", F.col("best.label").alias("label"), F.round(F.when(F.col("_all") > 0, F.col("best.total") / F.col("_all")).otherwise(0.0), 5).alias("share"))
+    return sums.groupBy("page").agg(F.max(F.struct("total", "label")).alias("best"), F.sum(F.col("total").cast("decimal(20,6)")).cast("double").alias("_all")).select("page", F.col("best.label").alias("label"), F.round(F.when(F.col("_all") > 0, F.col("best.total") / F.col("_all")).otherwise(0.0), 5).alias("share"))
 
 
 def suppressed(boxes: DataFrame) -> DataFrame:

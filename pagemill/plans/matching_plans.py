@@ -51,7 +51,7 @@ _VOTE = """CASE WHEN provider = 'F' AND label <> 'TEXT' THEN 1.5 WHEN provider =
 
 
 @query(f"""WITH {D.BOXES}, t AS (SELECT page, label, round(sum(confidence * {_VOTE}), 6) AS total FROM d_boxes GROUP BY page, label)
-SELECT page, label, round(total / sum_all, 5)::DOUBLE AS share FROM (SELECT *, sum(total) OVER (PARTITION BY page) AS sum_all FROM t) QUALIFY row_number() OVER (PARTITION BY page ORDER BY total DESC, label DESC) = 1""")
+SELECT page, label, round(total / sum_all, 5)::DOUBLE AS share FROM (SELECT *, sum(total::DECIMAL(20, 6)) OVER (PARTITION BY page)::DOUBLE AS sum_all FROM t) QUALIFY row_number() OVER (PARTITION BY page ORDER BY total DESC, label DESC) = 1""")
 def label_vote(spark, sf):
     return M.vote(D.boxes(spark, sf))
 
