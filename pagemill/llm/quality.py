@@ -192,3 +192,26 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rate(docs).drop("text")
+
+
+def _later_sql(n: int) -> str:
+    """Characters of words in windows of n words that are not the first of their kind in the text."""
+    return f"""r{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS nth FROM (SELECT doc_id, unnest([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})]) AS k, unnest(range(1, len(w) - {n - 2})) AS i FROM texts)),
+c{n} AS (SELECT doc_id, sum(length(word))::BIGINT AS dup_{n}gram_chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM r{n} WHERE nth > 1) JOIN words USING (doc_id, i) GROUP BY doc_id)"""
+
+
+#: The query's rows.
+ORACLE_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM texts)),
+again AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS dup_line_chars FROM lines WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+threes AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS k, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+repeated AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM threes WHERE n > 1) GROUP BY doc_id),
+{", ".join(_later_sql(n) for n in MAX_REPEATED)},
+measures AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(dup_{n}gram_chars, 0) AS dup_{n}gram_chars" for n in MAX_REPEATED)}
+  FROM texts LEFT JOIN again USING (doc_id) LEFT JOIN repeated USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in MAX_REPEATED)}),
+base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures)
+SELECT *, NOT base_failed AND dup_line_chars <= {MAX_LINE_CHARS}::DOUBLE * word_chars AND {" AND ".join(f"dup_{n}gram_chars <= {share}::DOUBLE * word_chars" for n, share in MAX_REPEATED.items())} AS kept FROM base
+"""
