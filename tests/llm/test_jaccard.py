@@ -93,18 +93,19 @@ def test_tree_and_pairs_keep_what_the_bounds_allow():
 
     rng = np.random.default_rng(3)
     for low, high in ((0, 4), (4, 64), (0, 1 << 60)):
-        sets = [np.unique(rng.choice(rng.integers(0, 1 << 63, 60, np.uint64) if k % 9 == 0 else np.arange(40, dtype=np.uint64), rng.integers(28, 44))) for k in range(60)]
+        sets = [np.unique(rng.choice(rng.integers(0, 1 << 63, 60, np.uint64) if k % 9 == 0 else np.arange(90, dtype=np.uint64), rng.integers(90, 200))) for k in range(60)]
         n = np.array([len(x) for x in sets])
         gid, comp, role = rng.permutation(60), rng.integers(0, 6, 60), rng.integers(0, 3, 60)
         points, marks = jaccard.points_of([jaccard.point(x) for x in sets]), [jaccard.parity(x) for x in sets]
-        rows = jaccard.folded(marks, min(map(len, marks)))
+        assert len({len(m) for m in marks}) > 1
+        differ = lambda a, b: int(np.bitwise_count(np.bitwise_xor(*jaccard.folded([a, b], min(len(a), len(b))))).sum())
         want = set()
         for i in np.flatnonzero(role != 1):
             able = []
             for j in np.flatnonzero(role > 0):
                 if comp[i] != comp[j] and (n[j], gid[j]) < (n[i], gid[i]) and 100 * n[j] >= 60 * n[i]:
                     bound = int(np.minimum(points[i], points[j]).sum())
-                    if 160 * bound >= 60 * (n[i] + n[j]) and 160 * int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= 40 * (n[i] + n[j]):
+                    if 160 * bound >= 60 * (n[i] + n[j]) and 160 * differ(marks[i], marks[j]) <= 40 * (n[i] + n[j]):
                         able.append((-bound, gid[j]))
             want |= {(int(g), int(gid[i])) for _, g in sorted(able)[low:high]}
         got = {(int(x), int(y)) for a, b, _ in jaccard.partners(gid, n, comp, role, points, marks, low, high, 60) for x, y in zip(a, b, strict=True)}
