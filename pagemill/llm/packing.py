@@ -35,8 +35,9 @@ CAPACITY = 2048
 #: Pieces are not cut finer than this.
 GRAIN = 64
 END_ID = 1
-#: Words, and parts of words, of a generation whose ids a worker remembers, and characters that are encoded at once.
-MEMORY, PARTS, CHUNK = 120_000, 120_000, 4 << 20
+#: Words, and parts of words, of a generation whose ids a worker remembers, and characters that are encoded at once:
+#: where a worker has its memory for itself, and where it goes on from other stages. Results are the same.
+ROOMY, LEAN = (200_000, 200_000, 8 << 20), (120_000, 120_000, 4 << 20)
 
 PIECE = [
     T.StructField("start", T.LongType()),
@@ -83,7 +84,7 @@ class Words:
     its own kind (`</w>`), which tells the parts' ids from each other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = ROOMY[0], parts: int = ROOMY[1]):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +96,7 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known, self.parts = Memory(MEMORY, ""), Memory(PARTS, "\n")
+        self.known, self.parts = Memory(known, ""), Memory(parts, "\n")
 
     def _parts(self, new: list[str]) -> list[bytes]:
         ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -139,12 +140,12 @@ def _joined(own: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat[place], stops
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters, with their place."""
+def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about so many characters, with their place."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size > CHUNK:
+        if size > most:
             yield first, texts[first : i + 1]
             first, size = i + 1, 0
     if first < len(texts):
@@ -152,8 +153,8 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 @lru_cache(2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, known: int, parts: int) -> Words:
+    return Words(path, known, parts)
 
 
 def cut(tokens: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
@@ -171,11 +172,11 @@ def cut(tokens: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
     return [*out, tail] if tail else out
 
 
-def _worker(path: str, schema: T.StructType, text: str, end_id: int):
+def _worker(path: str, schema: T.StructType, text: str, end_id: int, memory: tuple[int, int, int]):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, me = words(path), TaskContext.get().partitionId()
+        own, me = words(path, *memory[:2]), TaskContext.get().partitionId()
         number = 0
         open_bins: dict[tuple[int, bool], list] = {}
         kinds = pa.schema([pa.field(f.name, t) for f, t in zip(PIECE + LOOSE, [pa.int64()] * 7 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()], strict=True)])
@@ -189,7 +190,7 @@ def _worker(path: str, schema: T.StructType, text: str, end_id: int):
             at = batch.schema.names.index(text)
             keep = [i for i in range(batch.num_columns) if i != at]
             empty = [batch.schema.field(i) for i in keep]
-            for low, texts in _chunks([t or "" for t in batch.column(at).to_pylist()]):
+            for low, texts in _chunks([t or "" for t in batch.column(at).to_pylist()], memory[2]):
                 part = batch.slice(low, len(texts))
                 extra = list(zip(*(part.column(i).to_pylist() for i in keep), strict=True)) if keep else [()] * part.num_rows
                 rest, rows = [], []
@@ -257,7 +258,7 @@ def _arrow(schema: T.StructType):
     return to_arrow_schema(schema)
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID, memory: tuple[int, int, int] = ROOMY) -> DataFrame:
     """The pieces of all documents: the other columns of docs, then start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != text]
@@ -265,7 +266,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -
         raise ValueError(f"columns {sorted(clash)} are there already")
     schema = T.StructType([*rest, *PIECE, *LOOSE])
     final = [F.col(f"`{f.name}`") for f in rest] + [F.col(f.name) for f in PIECE]
-    pieces = stage(docs.mapInArrow(_worker(path, schema, text, end_id), schema), "pieces")
+    pieces = stage(docs.mapInArrow(_worker(path, schema, text, end_id, memory), schema), "pieces")
     placed = pieces.where("sequence_id IS NOT NULL").select(*final)
 
     loose = pieces.where("sequence_id IS NULL").drop("sequence_id", "offset")
