@@ -32,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), memory=packing.LEAN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
