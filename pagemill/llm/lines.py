@@ -155,13 +155,14 @@ def dropped(docs: DataFrame) -> DataFrame:
     drop(lines, *old)
     by_doc = at.groupBy("template", "doc_id").agg(F.min("line").alias("line"), F.min("n_tokens").alias("n_tokens"))
     by_doc = by_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first"), F.min("n_tokens").alias("n"))
-    recurring = by_doc.where(F.col("docs") >= _least(F.col("n"))).select("template", "first")
+    # Written by itself, so that Spark can split hot templates where these are joined.
+    recurring = stage(by_doc.where(F.col("docs") >= _least(F.col("n"))).select("template", "first"), "recurring")
     out = at.hint("merge").join(recurring, "template").where("doc_id <> first.doc_id OR line <> first.line")
     out = out.select("doc_id", "version", "line", "n_tokens", F.col("first.doc_id").alias("host")).distinct()
     by_host = out.groupBy("doc_id", "version", "host").agg(F.collect_list("line").alias("lines"), F.sum("n_tokens").alias("words"))
     most = F.max(F.struct("words", (-F.col("host")).alias("host")))
     gone = stage(by_host.groupBy("doc_id", "version").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"), F.sum("words").alias("words"), (-most["host"]).alias("host")), "gone")
-    drop(at)
+    drop(at, recurring)
     return gone
 
 
