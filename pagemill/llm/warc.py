@@ -281,18 +281,18 @@ def merge_range(store, where: str, runs: list[str], low: tuple | None, high: tup
 
 
 def _group(folder: str):
-    """One run of each FAN_IN runs."""
+    """One run of each FAN_IN runs of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, where = _store(folder)
-        names = [n for b in batches for n in b.column(0).to_pylist()]
-        for low in range(0, len(names), FAN_IN):
-            name = f"{uuid.uuid4().hex}.run"
-            out = _RunWriter(store, f"{where}/{name}")
-            for line in merge_range(store, where, names[low : low + FAN_IN], None, None):
-                out.add(line)
-            out.close()
-            yield pa.RecordBatch.from_pydict({"run": [name]})
+        for names in (names for b in batches for names in b.column(0).to_pylist()):
+            for low in range(0, len(names), FAN_IN):
+                name = f"{uuid.uuid4().hex}.run"
+                out = _RunWriter(store, f"{where}/{name}")
+                for line in merge_range(store, where, names[low : low + FAN_IN], None, None):
+                    out.add(line)
+                out.close()
+                yield pa.RecordBatch.from_pydict({"run": [name]})
 
     return run
 
@@ -329,9 +329,11 @@ def merge(runs: DataFrame, folder: str, ranges: int) -> DataFrame:
     spark = runs.sparkSession
     ship(spark)
     left = runs.select("run").distinct()
-    # Partitions of a range hold FAN_IN runs or about as many; the last names are FAN_IN at most.
+    # Groups are rows, so there are fewer runs after each pass however Spark deals these out; the last names are FAN_IN at most.
     while (n := left.count()) > FAN_IN:
-        left = stage(left.repartitionByRange(-(-n // FAN_IN), "run").mapInArrow(_group(folder), "run string"), "groups")
+        groups = -(-n // FAN_IN)
+        sets = left.groupBy(F.expr(f"pmod(xxhash64(run), {groups})").alias("part")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
+        left = stage(sets.repartition(groups, "part").select("runs").mapInArrow(_group(folder), "run string"), "groups")
     names = sorted(r.run for r in left.collect())
     keys = runs.orderBy(F.xxhash64("run", "url_key", "ts", "page_id")).limit(SAMPLE).select("url_key", "ts", "page_id", "lines").collect()
     weighted = sorted((r.url_key, r.ts, r.page_id, r.lines) for r in keys)
