@@ -56,6 +56,27 @@ def test_components_match_brute_force(spark, monkeypatch, seed, n, percent, bloc
     assert got == brute(rows, n, percent)
 
 
+def ranked():
+    """One text (the last) near six others, and near four more that link with nothing else; ten below all of these link with nothing but are heads of most buckets."""
+    base = [f"w{i}" for i in range(120)]
+
+    def text(*places, kind="q"):
+        return " ".join(f"{kind}{i}" if i in places else w for i, w in enumerate(base))
+
+    at = [6 * (k + 1) for k in range(17)]
+    rows = [text(*at[14:], kind=f"d{k}x") for k in range(10)] + [text(at[8 + k]) for k in range(6)] + [text(*at[2 * k : 2 * k + 2]) for k in range(4)] + [text()]
+    return [(i + 1, t) for i, t in enumerate(rows)]
+
+
+def test_partners_of_later_ranks_are_all_asked(spark, monkeypatch):
+    """Links of the first ranks change components, and so the ranks of what is left."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    rows = ranked()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85)
+    assert len({got[i][1] for i in range(11, 22)}) == 1
+
+
 def test_groups_hold_every_linked_pair():
     """Sets at the very edge of linking share a signature."""
     rng = random.Random(4)
