@@ -102,8 +102,10 @@ def figure_resources(spark, sf):
     figures = bound.join(nodes.where("kind = 'FIGURE'").select("node"), "node")
     objects = M.df(spark, sf, "m_regions").select("region", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"), "part").select("region", "n", (F.col("part") + F.col("n")).alias("object"))
     rows = V.figure_images(figures, objects, objects.where("object % 2 = 0").select("object"))
-    usable = F.concat(F.filter("images", lambda i: i % 4 == 0), F.array("node"))
-    return rows.select("node", F.array_join(V.shown_resources(F.col("images"), F.when(F.col("node") % 3 == 0, F.col("node")), usable).cast("array<string>"), ",").alias("resources"))
+    fragment = F.when(F.col("node") % 3 == 0, F.col("node"))
+    # A node without a fragment has no resource of its number, though an image may have that number.
+    usable = F.concat(F.filter("images", lambda i: i % 4 == 0), F.array_compact(F.array(fragment)))
+    return rows.select("node", F.array_join(V.shown_resources(F.col("images"), fragment, usable).cast("array<string>"), ",").alias("resources"))
 
 
 _VIEW = f"""{M.ctes('m_nodes', 'm_regions')}, b AS (SELECT node, 0 AS b, 0 AS a, node * 2 AS anchor FROM m_nodes UNION ALL SELECT node, 1, 0, node * 2 + 1 FROM m_nodes WHERE node % 2 = 0), an AS (SELECT node * 2 AS anchor, 0 AS f, region FROM m_nodes WHERE region IS NOT NULL UNION ALL SELECT node * 2 + 1, k, region + 10 * k FROM m_nodes, range(2) t(k) WHERE region IS NOT NULL),
