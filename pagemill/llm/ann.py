@@ -20,6 +20,7 @@ import heapq
 import pickle
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ RECALL = 0.98
 FINE, FINE_SAMPLE, FINE_RECALL = 4096, 2048, 0.995
 #: Vectors and queries of a leaf that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Numbers in the vectors of one batch of visits.
+VISITED = 1 << 20
 
 
 class Tree:
@@ -133,14 +136,18 @@ def _assign(tree: Tree):
 def _visit(tree: Tree, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, leaves = [], []
-            for i, q in enumerate(_unit(_matrix(b.column("vector")))):
-                for n, leaf in enumerate(tree.visit(q)):
-                    if n == visits:
-                        break
-                    rows.append(i)
-                    leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(leaves, pa.int64())], names=[*b.schema.names, "leaf"])
+            if not b.num_rows:
+                continue
+            units = _unit(_matrix(b.column("vector")))
+            # A query is a row for each leaf it visits, with its vector: all of a batch would not fit.
+            step = max(1, VISITED // (visits * units.shape[1]))
+            for low in range(0, len(units), step):
+                part, rows, leaves = b.slice(low, step), [], []
+                for i, q in enumerate(units[low : low + step]):
+                    for leaf in islice(tree.visit(q), visits):
+                        rows.append(i)
+                        leaves.append(leaf)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows, pa.int64())).columns, pa.array(leaves, pa.int64())], names=[*b.schema.names, "leaf"])
 
     return run
 

@@ -71,3 +71,19 @@ def test_lengths_and_repeated_ids(spark):
     for r in sorted(ann.search(vectors, vectors.where("vec_id < 5")).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {0: [1, 5, 5], 1: [5, 0, 5], 2: [3], 3: [2]}
+
+
+def test_visits_come_in_batches_of_bounded_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ann, "VISITED", 1 << 10, raising=False)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    tree = ann.Tree(ann._unit(x), 20.0)
+    visits = min(30, tree.leaves())
+    batch = pa.RecordBatch.from_pydict({"vector": x.tolist(), "gid": list(range(400))})
+    out = list(ann._visit(tree, visits)(iter([batch, batch.slice(0, 0)])))
+    assert all(b.num_rows * 8 <= 1 << 10 for b in out)
+    want = [(i, leaf) for i, q in enumerate(ann._unit(x)) for _, leaf in zip(range(visits), tree.visit(q))]
+    assert [(g, leaf) for b in out for g, leaf in zip(b["gid"].to_pylist(), b["leaf"].to_pylist())] == want
+    assert all(b["vector"].to_pylist() == [x[g].tolist() for g in b["gid"].to_pylist()] for b in out)
