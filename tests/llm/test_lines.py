@@ -157,3 +157,30 @@ def test_clash_is_told(spark):
     with pytest.raises(ValueError, match="prefix"):
         lines.clean(df)
     assert lines.clean(df.withColumn("__lines", df.n_lines), prefix="p_").columns == ["doc_id", "text", "n_lines", "__lines", "p_n_lines", "p_n_dropped"]
+
+
+def test_texts_of_a_round_do_not_outlive_it(spark, monkeypatch):
+    """A leaf of several rounds: never more than three staged tables that hold lines."""
+    live, most, rounds = set(), [], []
+    stage, drop = lines.stage, lines.drop
+
+    def staged(df, name):
+        out = stage(df, name)
+        if "masked" in df.columns:
+            live.add(out._staged_at)
+            most.append(len(live))
+        rounds.append(name)
+        return out
+
+    def dropped(*tables):
+        for t in tables:
+            live.discard(vars(t).get("_staged_at"))
+        drop(*tables)
+
+    monkeypatch.setattr(lines, "stage", staged)
+    monkeypatch.setattr(lines, "drop", dropped)
+    kinds = [" ".join(f"{a}{w}" for w in "klmnopqr") for a in "abcdefgh"]
+    rows = [(i, "\n".join(f"the same start {k} w{chr(97 + i)}" for k in kinds[: 8 - i])) for i in range(6)]
+    got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in got) > 0 and rounds.count("named") > 2
+    assert max(most) <= 3 and not live
