@@ -77,6 +77,15 @@ def test_partners_of_later_ranks_are_all_asked(spark, monkeypatch):
     assert len({got[i][1] for i in range(11, 22)}) == 1
 
 
+def test_keep_first_loses_no_partner_of_later_ranks(spark, monkeypatch):
+    """As the pipeline asks: only the first of all that link is kept, and the ten that link with nothing."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    rows = ranked()
+    want = sorted({c for _, c in brute(rows, 5, 80).values()})
+    got = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80)
+    assert sorted(r.doc_id for r in got.collect()) == want == list(range(1, 12))
+
+
 def test_groups_hold_every_linked_pair():
     """Sets at the very edge of linking share a signature."""
     rng = random.Random(4)
