@@ -7,9 +7,12 @@ estimate and of the product over the contexts one byte longer. Mixed from the ro
 each decision one probability that takes in all depths, and a text its code length.
 
 Training counts all runs of DEPTH bytes and the byte after them, and all words; both tables grow with the corpus
-and stay distributed. The tree has all contexts of up to two bytes, and longer ones, up to DEPTH bytes, that at least
-SHARE of the training bytes follow; so there are at most 1 / SHARE of each length, a proven bound of the tree that workers
-read. What else follows a context with longer ones in the tree is one context more, next to them, with the counts that they leave.
+and stay distributed. The tree has every context of up to DEPTH bytes that training met (with a SHARE above 0 those of over two bytes
+that so large a share of the training bytes follow; what else follows a context is then one context more, next to its longer ones).
+It is held as its runs: those that share the last three bytes before the next one lie side by side, so a task weighs them from DEPTH down to
+three bytes; contexts of up to two bytes, of which there are at most 65,536, are weighed on the driver, and a second pass gives
+each run the log of its last byte's probability. Runs that only held-out texts have are given theirs too.
+Workers read the HEAVY_RUNS most frequent runs; all others are joined by a shuffle.
 Words beyond the most frequent HEAVY ones are joined by a shuffle, so no table that grows is
 sent to every worker. Texts are lower-cased in A-Z first. A null text is empty: one end token, score 0.
 Repeated rows are scored (and learnt from) each for itself.
@@ -17,6 +20,7 @@ Repeated rows are scored (and learnt from) each for itself.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +38,10 @@ from .common import new_path, ship, stage, table
 HEAVY, HEAVY_BYTES = 50_000, 256
 #: Words that a worker counts before it hands its counts on.
 FLUSH = 300_000
-#: The longest context in bytes; the share of training bytes that those of over two bytes need; bytes that are looked at together.
-DEPTH, SHARE, BLOCK = 5, 2.0**-15, 1 << 22
+#: The longest context in bytes (a run has to fit 64 bits); the share of training bytes that those of over two bytes need; bytes that are looked at together.
+DEPTH, SHARE, BLOCK = 5, 0.0, 1 << 22
+#: Runs that are looked up on the spot at most, and those that are weighed together at least.
+HEAVY_RUNS, ROWS = 1 << 21, 1 << 16
 
 
 def held_out(doc_id) -> bool:
@@ -51,46 +57,47 @@ def _windows(raw: bytes) -> Iterator[np.ndarray]:
 
 
 def _grams(window: np.ndarray) -> np.ndarray:
-    """For each byte its DEPTH predecessors, the oldest first, and itself, as one number."""
+    """For each byte its DEPTH predecessors, the last one first, and itself, as one number: shorter contexts are its front."""
     n = len(window) - DEPTH
-    out = window[:n].astype(np.int64)
-    for d in range(1, DEPTH + 1):
+    out = np.zeros(n, np.int64)
+    for d in [*range(DEPTH - 1, -1, -1), DEPTH]:
         out <<= 8
         out |= window[d : d + n]
     return out
 
 
 def _count(id_at: int, text_at: int):
-    """Rows (word, gram, n): counts of words and of grams, and (null, null, n) for the number of texts."""
+    """Rows (word, gram, n): counts of words and of grams, and (null, null, n) for the number of texts; grams of held-out texts count 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        n_docs, parts, size = 0, [], 0
+        n_docs, parts, size = 0, {False: [], True: []}, {False: 0, True: 0}
 
         def rows(word, gram, n):
             return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["word", "gram", "n"])
 
-        def told():
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.array(grams), pa.array(n.astype(np.int64))], names=["word", "gram", "n"])
+        def told(held: bool):
+            grams, n = np.unique(np.concatenate(parts[held]), return_counts=True)
+            parts[held], size[held] = [], 0
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.array(grams), pa.array(n.astype(np.int64) * (not held))], names=["word", "gram", "n"])
 
         for batch in batches:
-            kept = [t for i, t in zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True) if not held_out(i)]
-            n_docs += len(kept)
-            for t in kept:
-                raw = (t or "").encode().lower()
-                words.update(raw.split())
+            for i, t in zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
+                raw, held = (t or "").encode().lower(), held_out(i)
+                if not held:
+                    n_docs += 1
+                    words.update(raw.split())
                 for window in _windows(raw):
-                    parts.append(_grams(window))
-                    size += len(parts[-1])
-                    if size >= BLOCK:
-                        yield told()
-                        parts, size = [], 0
+                    parts[held].append(_grams(window))
+                    size[held] += len(parts[held][-1])
+                    if size[held] >= BLOCK:
+                        yield told(held)
                 if len(words) > FLUSH:
                     yield rows(list(words), [None] * len(words), list(words.values()))
                     words.clear()
-        if parts:
-            yield told()
+        for held in parts:
+            if parts[held]:
+                yield told(held)
         if words:
             yield rows(list(words), [None] * len(words), list(words.values()))
         yield rows([None], [None], [n_docs])
@@ -140,149 +147,209 @@ def _bytes_from_ones(p_one: np.ndarray) -> np.ndarray:
     return heap[..., 256:]
 
 
-def _dense(contexts: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of the bytes that follow each of the (sorted) contexts; grams are a context and a byte."""
-    out = np.zeros((len(contexts), 256))
-    np.add.at(out, (np.searchsorted(contexts, grams >> 8), grams & 255), n)
-    return out
-
-
-class _Level:
-    """Contexts of one length that end in one byte: estimates of each decision, and their place in the tree."""
-
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray):
-        self.contexts, self.counts = contexts, counts
-        zeros, ones = _decisions(counts)
-        self.log, self.ones = _log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
-        self.share = np.ones_like(self.ones)  # of a context's own estimate: all, unless there are longer ones
-        self.weighted = self.log
-        self.parent = self.rest = None
-
-    def grow(self, below: "_Level", bits: int) -> None:
-        """Weighs these contexts with the longer ones; each that has any gets one more for all other bytes before it."""
-        below.parent = np.searchsorted(self.contexts, below.contexts & ((1 << bits) - 1))
-        self.inner = np.unique(below.parent)
-        left = self.counts.copy()
-        np.subtract.at(left, below.parent, below.counts)
-        self.rest = _Level(self.contexts[self.inner], left[self.inner])
-        product = np.zeros_like(self.log)
-        np.add.at(product, below.parent, below.weighted)
-        own, product = self.log[self.inner], product[self.inner] + self.rest.log
-        both = np.logaddexp(own, product)
-        self.share[self.inner] = np.exp(own - both)
-        self.weighted = self.log.copy()
-        self.weighted[self.inner] = both - np.log(2)
-
-
-def weigh(grams: np.ndarray, n: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model, from counts of two bytes and the next, and of 3, 4 ... bytes and the next for those contexts that are kept.
-
-    log10 probabilities of the next byte, a row of 256 for each context: first the 65,536 of two bytes, then the longer ones;
-    for each context the row of its longer ones (or -1), and such rows: by the byte before the context, the longer context (or -1).
-    """
-    order = np.argsort(grams)
-    grams, n = grams[order], n[order]
-    last = grams >> 8 & 255
-    seen = np.unique(last)
-    own1 = np.zeros((256, 256))
-    np.add.at(own1, (last, grams & 255), n)
+def weigh(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray]:
+    """Of the tree of contexts of two bytes alone, from counts of two bytes (the last one second) and the next, log10 of each next byte's probability: 256 for each context."""
+    own2 = np.zeros((256, 256, 256))
+    np.add.at(own2, (grams >> 8 & 255, grams >> 16, grams & 255), n)
+    own1 = own2.sum(1)
     z0, o0 = _decisions(own1.sum(0))
     z1, o1 = _decisions(own1)
     kt0, kt1 = _log_kt(z0, o0), _log_kt(z1, o1)
-    pw1, share1, trees = np.zeros((256, 255)), np.full((256, 255), 0.5), {}
-    for b in seen:
-        levels = []
-        for length, (g, m) in enumerate([(grams, n), *longer], 2):
-            at = (g >> 8 & 255) == b
-            contexts = np.unique(g[at] >> 8)
-            if not len(contexts):
-                break
-            levels.append(_Level(contexts, _dense(contexts, g[at], m[at])))
-        for length in range(len(levels) - 1, 0, -1):
-            levels[length - 1].grow(levels[length], 8 * (length + 1))
-        # Unseen contexts of two bytes have no counts: their estimate and product are 1.
-        below = levels[0].weighted.sum(0)
-        pw1[b] = np.logaddexp(kt1[b], below) - np.log(2)
-        share1[b] = np.exp(kt1[b] - np.logaddexp(kt1[b], below))
-        trees[int(b)] = levels
-    share0 = np.exp(kt0 - np.logaddexp(kt0, pw1.sum(0)))
-    ones0, ones1 = (o0 + 0.5) / (z0 + o0 + 1), (o1 + 0.5) / (z1 + o1 + 1)
-    # What the root and the last byte say, and how much of each decision is left to longer contexts.
-    told1, left1 = share0 * ones0 + (1 - share0) * share1 * ones1, (1 - share0) * (1 - share1)
-    total = (1 << 16) + sum(len(x.contexts) for levels in trees.values() for x in levels[1:])
-    out = np.empty((total, 256), np.float32)
-    # Byte pairs that never came: half for each decision.
-    out[: 1 << 16] = np.tile(_bytes_from_ones(told1 + left1 * 0.5), (256, 1))
-    row_of, rows, top = np.full(total, -1, np.int32), [], 1 << 16
-    for b, levels in trees.items():
-        number, told, left = levels[0].contexts, told1[b], left1[b]
-        for length, x in enumerate(levels, 2):
-            if length > 2:
-                told, left, number = told[x.parent], left[x.parent], np.arange(top, top + len(x.contexts))
-                top += len(number)
-                kids[np.searchsorted(inner, x.parent), x.contexts >> 8 * (length - 1)] = number
-            told, left = told + left * x.share * x.ones, left * (1 - x.share)
-            ends = told
-            if x.rest is not None:
-                ends = told.copy()
-                ends[x.inner] += left[x.inner] * x.rest.ones
-                inner, kids = x.inner, np.full((len(x.inner), 256), -1, np.int32)
-                row_of[number[inner]] = np.arange(len(rows), len(rows) + len(inner))
-                rows.extend(kids)
-            out[number] = _bytes_from_ones(ends)
-    return out, row_of, np.array(rows, np.int32).reshape(-1, 256)
+    # Unseen contexts have no counts: their estimate and product are 1.
+    below = np.zeros((256, 255))
+    for b in np.flatnonzero(own1.any(1)):
+        below[b] = _log_kt(*_decisions(own2[b])).sum(0)
+    both = np.logaddexp(kt1, below)
+    share1 = np.exp(kt1 - both)
+    share0 = np.exp(kt0 - np.logaddexp(kt0, (both - np.log(2)).sum(0)))
+    told1 = share0 * _guess(z0, o0) + (1 - share0) * share1 * _guess(z1, o1)
+    left1 = (1 - share0) * (1 - share1)
+    out = np.empty((256, 256, 256), np.float32)
+    for b in range(256):
+        out[:, b] = _bytes_from_ones(told1[b] + left1[b] * _guess(*_decisions(own2[b])))
+    return (out.reshape(-1, 256),)
 
 
-@lru_cache(1)
-def _model(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[bytes, int]]:
-    """Model and frequent words from the shared folder, read once by each worker process."""
-    import pickle
+def _guess(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+class _Level:
+    """Decisions under contexts of one length: a context and a place in the heap as a key, counts, the level above's row, and whether the context is in the tree."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        self.log = _log_kt(zeros, ones)
+        self.weighted, self.share = self.log, np.ones(len(keys))
+
+    def above(self) -> "_Level":
+        """These decisions under contexts one byte shorter."""
+        keys, self.parent = np.unique(self.keys >> 16 << 8 | self.keys & 255, return_inverse=True)
+        return _Level(keys, np.bincount(self.parent, self.zeros, len(keys)), np.bincount(self.parent, self.ones, len(keys)))
+
+    def inside(self, below: "_Level") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Zeros, ones and weighted logs of the contexts one byte longer that are in the tree."""
+        return tuple(np.bincount(below.parent, x * below.kept, len(self.keys)) for x in (below.zeros, below.ones, below.weighted))
+
+    def mix(self, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> None:
+        """Weighs these contexts with the longer ones, and with what follows none of these."""
+        zeros, ones = self.zeros - zeros, self.ones - ones
+        both = np.logaddexp(self.log, weighted + _log_kt(zeros, ones))
+        self.share, self.weighted, self.rest = np.exp(self.log - both), both - np.log(2), _guess(zeros, ones)
+
+    def tell(self, told: np.ndarray | float, left: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """What contexts so long say, and how much is left to longer ones, from these figures of the shorter ones."""
+        return told + left * self.share * _guess(self.zeros, self.ones), left * (1 - self.share)
+
+
+def _tree(grams: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, list[_Level]]:
+    """Of sorted grams, all of their contexts of three bytes, the row of each gram's eight decisions in the longest level, and levels of 3 to DEPTH bytes."""
+    byte = grams & 255 | 256
+    keys = np.concatenate([grams >> 8 << 8 | byte >> 8 - j for j in range(8)])
+    ones = np.concatenate([byte >> 7 - j & 1 for j in range(8)]).astype(bool)
+    keys, row = np.unique(keys, return_inverse=True)
+    every = np.tile(n, 8)
+    levels = [_Level(keys, np.bincount(row, every * ~ones, len(keys)), np.bincount(row, every * ones, len(keys)))]
+    while len(levels) < DEPTH - 2:
+        levels.insert(0, levels[0].above())
+    for length, x in enumerate(levels, 3):
+        contexts, at = np.unique(grams >> 8 * (DEPTH + 1 - length), return_inverse=True)
+        total = np.bincount(at, n)
+        x.kept = ((total > 0) & (total >= least))[np.searchsorted(contexts, x.keys >> 8)]
+    for x, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        x.mix(*x.inside(below))
+    return row, levels
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted (gram, n) in blocks that hold all of their contexts of three bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)))
+        size += batch.num_rows
+        if size < ROWS:
+            continue
+        grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(grams, grams[-1] >> 24 << 24))
+        if cut:
+            yield grams[:cut], n[:cut]
+        # The last context may go on.
+        held, size = [(grams[cut:], n[cut:])], 0
+    if held and size + len(held[0][0]):
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _up(least: float):
+    """For each decision under two bytes its counts, and those and the weighted logs of the contexts of three bytes in the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams, n in _blocks(batches):
+            first = _tree(grams, n, least)[1][0]
+            two = first.above()
+            columns = [two.keys, two.zeros, two.ones, *two.inside(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "in_zeros", "in_ones", "weighted"])
+
+    return run
+
+
+def _top(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """From the sums of what _up gives, for each decision under two bytes: key, what is told, what is left to longer contexts, and the guess where there are none."""
+    order = np.argsort(columns[0])
+    keys, zeros, ones, *inside = (c[order] for c in columns)
+    two = _Level(keys, zeros, ones)
+    two.mix(*inside)
+    one = two.above()
+    root = one.above()
+    for x, below in ((one, two), (root, one)):
+        below.kept = np.ones(len(below.keys), bool)
+        x.mix(*x.inside(below))
+    told, left = root.tell(0.0, 1.0)
+    for x in (one, two):
+        told, left = x.tell(told[x.parent], left[x.parent])
+    return [keys, told, left, two.rest]
+
+
+def _down(least: float, path: str):
+    """(gram, n, log): log10 of the probability of a gram's byte after its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *top = (_array(path, name, kind) for name, kind in zip(("keys", "told", "left", "rest"), ("<i8", "<f8", "<f8", "<f8"), strict=True))
+        for grams, n in _blocks(batches):
+            row, levels = _tree(grams, n, least)
+            levels[0].parent = np.searchsorted(keys, levels[0].keys >> 16 << 8 | levels[0].keys & 255)
+            told, left, rest = top
+            for x in levels:
+                told, left, rest = told[x.parent], left[x.parent], rest[x.parent]
+                # Where a context is not in the tree, what follows none of the longer ones has the last word.
+                ends = told + left * rest
+                told, left = x.tell(told, left)
+                told, left = np.where(x.kept, told, ends), np.where(x.kept, left, 0.0)
+                rest = x.rest if x is not levels[-1] else rest
+            p = told[row].reshape(8, -1)
+            byte = grams & 255
+            log = sum(np.log10(np.where(byte >> 7 - j & 1, p[j], 1 - p[j])) for j in range(8))
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64)), pa.array(log)], names=["gram", "n", "log"])
+
+    return run
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hashed(grams: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and logs at their slots or the next ones that are free, at most half of them taken; -1 is none. The last entry is the slots' bits."""
+    bits = max(8, (2 * len(grams)).bit_length())
+    order = np.argsort(_slots(grams, bits), kind="stable")
+    at = np.arange(len(order))
+    if len(order):
+        at = at + np.maximum.accumulate(_slots(grams[order], bits) - at)
+    size = max(1 << bits, int(at.max(initial=0)) + 1) + 1
+    keys, values = np.full(size + 1, -1, np.int64), np.zeros(size, np.float32)
+    keys[at], values[at], keys[-1] = grams[order], logs[order], bits
+    return keys, values
 
+
+def _looked_up(grams: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> tuple[float, np.ndarray]:
+    """The sum of the logs of those grams that are held, and the others."""
+    at = _slots(grams, int(keys[-1]))
+    found = keys[at]
+    on = np.flatnonzero((found != grams) & (found >= 0))
+    while len(on):
+        at[on] += 1
+        found[on] = keys[at[on]]
+        on = on[(found[on] != grams[on]) & (found[on] >= 0)]
+    return float(logs[at].sum(dtype=np.float64)), grams[found < 0]
+
+
+def _bytes(path: str, name: str) -> bytes:
     from pyarrow import fs
 
     store, where = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{where}/{name}") as f:
+        return f.read()
 
-    def read(name: str) -> bytes:
-        with store.open_input_stream(f"{where}/{name}") as f:
-            return f.read()
 
-    return np.frombuffer(read("model"), np.float32), np.frombuffer(read("row_of"), np.int32), np.frombuffer(read("rows"), np.int32), pickle.loads(read("heavy"))
+def _array(path: str, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(_bytes(path, name), kind)
 
 
-def _save(path: str, model: tuple[np.ndarray, ...], heavy: dict[bytes, int]) -> None:
-    import pickle
+@lru_cache(1)
+def _model(path: str) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Frequent runs and words from the shared folder, read once by each worker process."""
+    return _array(path, "runs", "<i8"), _array(path, "logs", "<f4"), pickle.loads(_bytes(path, "heavy"))
+
 
+def _save(path: str, **files: np.ndarray | bytes) -> None:
     from pyarrow import fs
 
     store, where = fs.FileSystem.from_uri(path)
     store.create_dir(where, recursive=True)
-    for name, what in zip(("model", "row_of", "rows", "heavy"), (*model, pickle.dumps(heavy)), strict=True):
+    for name, what in files.items():
         with store.open_output_stream(f"{where}/{name}") as f:
             f.write(what if isinstance(what, bytes) else what.tobytes())
 
 
-def _logs(window: np.ndarray, model: np.ndarray, row_of: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte of a window, under the longest context of the tree that comes before it."""
-    n = len(window) - DEPTH
-    x = window.astype(np.int32)
-    context = x[DEPTH - 2 : DEPTH - 2 + n] << 8 | x[DEPTH - 1 : DEPTH - 1 + n]
-    row = row_of[context]
-    at = np.flatnonzero(row >= 0)
-    row = row[at]
-    for length in range(3, DEPTH + 1):
-        if not len(at):
-            break
-        longer = rows[row << 8 | x[at + (DEPTH - length)]]
-        on = np.flatnonzero(longer >= 0)
-        at, longer = at[on], longer[on]
-        context[at] = longer
-        if length < DEPTH:
-            row = row_of[longer]
-            on = np.flatnonzero(row >= 0)
-            at, row = at[on], row[on]
-    return model[context << 8 | x[DEPTH:]]
-
-
 NEW = (
     T.StructType()
     .add("held_out", T.BooleanType())
@@ -292,9 +359,18 @@ NEW = (
     .add("_log", T.DoubleType())
     .add("score", T.DoubleType())
     .add("_rest", T.ArrayType(T.StructType().add("word", T.BinaryType()).add("n", T.LongType())))
+    .add("_runs", T.ArrayType(T.StructType().add("gram", T.LongType()).add("n", T.LongType())))
 )
 
 
+def _listed(runs: list[np.ndarray]) -> pa.ListArray:
+    """Of each text its runs, once each, and how often it has them."""
+    counted = [np.unique(r, return_counts=True) for r in runs]
+    ends = np.cumsum([0, *(len(g) for g, _ in counted)])
+    rows = pa.StructArray.from_arrays([pa.array(np.concatenate([c[k] for c in counted]), pa.int64()) for k in (0, 1)], ["gram", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def _score(schema: T.StructType, id_at: int, text_at: int, path: str, n_end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *model, heavy = _model(path)
@@ -304,6 +380,7 @@ def _score(schema: T.StructType, id_at: int, text_at: int, path: str, n_end: int
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 out: list[tuple] = []
+                runs: list[np.ndarray] = []
                 for i, t in zip(part.column(id_at).to_pylist(), part.column(text_at).to_pylist(), strict=True):
                     raw = (t or "").encode().lower()
                     tokens = raw.split()
@@ -312,21 +389,36 @@ def _score(schema: T.StructType, id_at: int, text_at: int, path: str, n_end: int
                     known = c > 0
                     log = float(np.log10(c[known] + 1.0).sum()) + float(np.log10(n_end + 1.0))
                     rest = Counter([w for w, x in zip(tokens, found, strict=True) if not x])
-                    score = sum(float(_logs(window, *model).sum(dtype=np.float64)) for window in _windows(raw))
-                    out.append((held_out(i), len(tokens) + 1, len(raw), int(known.sum()) + (n_end > 0), log, score, [{"word": w, "n": n} for w, n in rest.items()]))
+                    looked = [_looked_up(_grams(window), *model) for window in _windows(raw)]
+                    runs.append(np.concatenate([np.zeros(0, np.int64), *(left for _, left in looked)]))
+                    out.append((held_out(i), len(tokens) + 1, len(raw), int(known.sum()) + (n_end > 0), log, sum(x for x, _ in looked), [{"word": w, "n": n} for w, n in rest.items()]))
                 types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest_type]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True))], names=schema.names)
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *columns, _listed(runs)], names=schema.names)
 
     return run
 
 
-def _longer(grams: DataFrame, length: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the bytes that follow the contexts of this length that at least so many bytes follow."""
-    counts = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (length + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("gram", 8))
-    many = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("context")
-    # Of these there are at most 1 / SHARE.
-    found = counts.join(F.broadcast(many), "context", "left_semi").select("gram", "n").toArrow()
-    return found.column("gram").to_numpy(), found.column("n").to_numpy().astype(np.float64)
+def _runs(grams: DataFrame, path: str) -> DataFrame:
+    """gram, n, log (log10 of its byte's probability) of all grams, staged; a gram with n = 0 is of held-out texts alone."""
+    least = SHARE * grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = grams.repartition(F.shiftright("gram", 24)).sortWithinPartitions("gram")
+    up = blocks.mapInArrow(_up(least), "key long, zeros double, ones double, in_zeros double, in_ones double, weighted double")
+    # There are 255 decisions under each of 65,536 contexts at most, whatever the corpus.
+    sums = up.groupBy("key").agg(*(F.sum(c).alias(c) for c in up.columns[1:])).toArrow()
+    _save(path, **dict(zip(("keys", "told", "left", "rest"), _top([sums.column(c).to_numpy() for c in sums.column_names]), strict=True)))
+    return stage(blocks.mapInArrow(_down(least, path), "gram long, n long, log double"), "runs")
+
+
+def _most(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and logs of the most frequent runs, HEAVY_RUNS at most."""
+    sizes = sorted(runs.where("n > 0").groupBy("n").count().collect(), reverse=True)
+    total = np.cumsum([r["count"] for r in sizes])
+    fit = int(np.searchsorted(total, HEAVY_RUNS, "right"))
+    if not fit:
+        return np.zeros(0, np.int64), np.zeros(0)
+    found = runs.where(F.col("n") >= sizes[fit - 1]["n"]).select("gram", "log").toArrow()
+    return found.column("gram").to_numpy(), found.column("log").to_numpy()
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,23 +438,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     total, kinds = total + n_docs, kinds + (n_docs > 0)
     most = counts.where(F.length("word") <= HEAVY_BYTES).orderBy(F.desc("n"), "word").limit(HEAVY).toArrow()
     heavy = dict(zip(most.column("word").to_pylist(), most.column("n").to_pylist(), strict=True))
-    grams = gathered.where("gram IS NOT NULL").select("gram", "n")
-    least = SHARE * grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = grams.groupBy(F.col("gram").bitwiseAND((1 << 24) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    model = weigh(pairs.column("gram").to_numpy(), pairs.column("n").to_numpy().astype(np.float64), [_longer(grams, length, least) for length in range(3, DEPTH + 1)])
     path = new_path(spark, "ctw")
-    _save(path, model, heavy)
-    del model
+    runs = _runs(gathered.where("gram IS NOT NULL").select("gram", "n"), path)
+    grams, logs = _hashed(*_most(runs))
+    _save(path, runs=grams, logs=logs, heavy=pickle.dumps(heavy))
+    del grams, logs
 
     schema = T.StructType([*rest, *NEW.fields])
     first = docs.mapInArrow(_score(schema, id_at, text_at, path, n_docs), schema)
     # Rows are told apart by a number that is fixed once they are written.
     first = stage(first.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = first.select("_row", F.explode("_rest").alias("w")).select("_row", F.col("w.word").alias("word"), F.col("w.n").alias("tf"))
-    joined = rare.join(counts.withColumnRenamed("n", "c"), "word").groupBy("_row").agg(F.sum("tf").alias("_n2"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("_log2"))
+    words = rare.join(counts.withColumnRenamed("n", "c"), "word").select("_row", "tf", (F.col("tf") * F.log10(F.col("c") + 1.0)).alias("log"), F.lit(0.0).alias("score"))
+    rare = first.select("_row", F.explode("_runs").alias("r")).select("_row", F.col("r.gram").alias("gram"), F.col("r.n").alias("tf"))
+    bytes_ = rare.join(runs.select("gram", "log"), "gram").select("_row", F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("log"), (F.col("tf") * F.col("log")).alias("score"))
+    joined = words.union(bytes_).groupBy("_row").agg(F.sum("tf").alias("_n2"), F.sum("log").alias("_log2"), F.sum("score").alias("_score2"))
     size = F.log10(F.lit(float(total + kinds + 1)))
     base = F.col("_log") + F.coalesce("_log2", F.lit(0.0)) - F.col("n_tokens") * size
-    out = first.drop("_rest").join(joined, "_row", "left")
+    out = first.drop("_rest", "_runs").join(joined, "_row", "left").withColumn("score", F.col("score") + F.coalesce("_score2", F.lit(0.0)))
     return out.select(
         *(F.col(f"`{f.name}`") for f in rest),
         "held_out",

@@ -140,3 +140,61 @@ def test_repeated_passages_cost_less_than_their_pairs_do(spark):
     passage = "qa1b qa2c qa3d "
     docs = spark.createDataFrame([(i, passage * 40) for i in range(30)], "doc_id long, text string")
     assert ctw.score(docs).agg({"bits_per_byte": "max"}).first()[0] < 0.1
+
+
+def _recursion(train):
+    """What a text of bytes scores under the tree of all contexts of up to five bytes, weighed bottom up over dicts."""
+    seen = Counter()
+    for raw in train:
+        padded = bytes(5) + raw
+        for i, byte in enumerate(raw):
+            whole, bits = padded[i : i + 5][::-1], f"{byte:08b}"
+            seen.update((whole[:k], bits[: j + 1]) for k in range(6) for j in range(8))
+    own = lambda context, prefix: (seen[context, prefix + "0"], seen[context, prefix + "1"])
+    lg = math.lgamma
+    kt = lambda a, b: lg(a + 0.5) + lg(b + 0.5) - lg(a + b + 1) - math.log(math.pi)
+    weighted, product = {}, Counter()
+    for context, prefix in sorted({(c, bits[:-1]) for c, bits in seen}, key=lambda x: -len(x[0])):
+        log = kt(*own(context, prefix))
+        if len(context) < 5:
+            log = np.logaddexp(log, product[context, prefix]) - math.log(2)
+        weighted[context, prefix] = log
+        if context:
+            product[context[:-1], prefix] += log
+
+    def one(whole, prefix):
+        told, left = 0.0, 1.0
+        for k in range(6):
+            a, b = own(whole[:k], prefix)
+            share = 1.0 if k == 5 else math.exp(kt(a, b) - np.logaddexp(kt(a, b), product[whole[:k], prefix]))
+            told, left = told + left * share * (b + 0.5) / (a + b + 1), left * (1 - share)
+        return told
+
+    def score(raw):
+        padded, total = bytes(5) + raw, 0.0
+        for i, byte in enumerate(raw):
+            for j in range(8):
+                bits = f"{byte:08b}"
+                p = one(padded[i : i + 5][::-1], bits[:j])
+                total += math.log10(p if bits[j] == "1" else 1 - p)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize(("runs", "rows"), [(1 << 21, 1 << 16), (50, 100)])
+def test_rare_contexts_are_in_the_tree(spark, monkeypatch, runs, rows):
+    """Of a corpus so large that contexts met once are under 2^-15 of it, every text scores as the whole tree says, whether its runs are at hand or joined."""
+    monkeypatch.setattr(ctw, "HEAVY_RUNS", runs)
+    monkeypatch.setattr(ctw, "ROWS", rows)
+    rng = np.random.default_rng(3)
+    rare = ["zq vxk wqz", "kxv qwz jj", "Zq vxk wqz kxv"]
+    texts = ["".join(rng.choice(list("abcde é"), 2000)) + " " + rare[i % 3] for i in range(24)] + rare + ["", "zq vxk nothing like it"]
+    train = [t.lower().encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(map(len, train)) > 1 << 15
+    want = _recursion(train)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in ctw.score(docs).collect()}
+    assert len(found) == len(texts) and any(r.held_out for r in found.values())
+    for i in [*range(3), *range(24, len(texts)), next(i for i in range(24) if found[i].held_out)]:
+        assert math.isclose(found[i].score, want(texts[i].lower().encode()), rel_tol=1e-6, abs_tol=1e-9)
