@@ -210,3 +210,29 @@ def test_versions_of_a_document_all_link(spark):
     for parts in (1, 5):
         got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
         assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
+def test_tree_of_several_upper_boxes_finds_all():
+    """What near gives is what a scan of all points gives, so no pair that can link is passed over."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.poisson(rng.integers(1, 9), (2500, 64)), rng.poisson(300, (40, 64))]).astype(np.int32)
+    points = np.concatenate([points, np.maximum(points[:600] + rng.integers(-1, 2, (600, 64)), 0)]).astype(np.int32)
+    tree = jaccard.RTree(points)
+    assert len(tree.upper) > 2
+    for i in rng.choice(len(points), 150, replace=False):
+        for need in (1, int(0.8 * points[i].sum()), int(points[i].sum())):
+            near = tree.near(points[i], need)
+            assert len(near) == len(set(near.tolist()))
+            assert set(near.tolist()) == set(np.flatnonzero(np.minimum(points, points[i]).sum(1) >= need).tolist())
+
+
+def test_rows_without_an_id_take_no_links_away(spark):
+    """A row without a doc_id that comes first in its task has the set of a later one, whose near copy must still be found."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (5, text), (8, text + " end"), (None, text + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in jaccard.link(docs).collect()}
+    assert got == {(None, None), (5, 5), (8, 5)}
+    assert sorted(r.doc_id or 0 for r in jaccard.keep_first(docs).collect()) == [0, 0, 5]
