@@ -184,3 +184,25 @@ def test_texts_of_a_round_do_not_outlive_it(spark, monkeypatch):
     got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.n_dropped for r in got) > 0 and rounds.count("named") > 2
     assert max(most) <= 3 and not live
+
+
+def test_dealing_takes_no_texts_along_with_tokens(spark, monkeypatch):
+    """Where groups are dealt out, an exchange of tokens has no line beside each of them: lines would be written as often as they have tokens."""
+    plans = []
+    stage = lines.stage
+
+    def staged(df, name):
+        if name in ("dealt", "copies"):
+            plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(lines, "stage", staged)
+    kinds = [" ".join(f"{a}{w}" for w in "klmnopqr") for a in "abcdefgh"]
+    rows = [(i, "\n".join(f"the same start {k} w{chr(97 + i)}" for k in kinds[: 8 - i])) for i in range(6)]
+    lines.clean(spark.createDataFrame(rows, "doc_id long, text string"), spare=True).collect()
+    dealt = [p for name, p in plans if name == "dealt"]
+    assert dealt
+    for plan in dealt:
+        for line in plan.splitlines():
+            # What leaves a generator of tokens, or is joined and grouped by token, holds hashes alone.
+            assert not ("Aggregate [" in line and "masked" in line), line
