@@ -111,7 +111,8 @@ def docling_tables(dumps: DataFrame, page_height: float, key: str = "doc_id", js
     tables = _located(tables, "t", page_height).select("doc", F.col("tab").cast("long").alias("tab"), "page", "box.*", given("num_rows").alias("_r"), given("num_cols").alias("_c"))
     size = table_cells(dumps, key, json).groupBy("doc", "tab").agg(F.max(F.col("row") + F.col("row_span")).alias("_mr"), F.max(F.col("col") + F.col("col_span")).alias("_mc"))
     least = lambda a, b: F.coalesce(F.nullif(a, F.lit(0)), b, F.lit(0)).cast("long")
-    return tables.join(size, ["doc", "tab"], "left").select("doc", "tab", "page", "x", "y", "w", "h", least("_r", F.col("_mr")).alias("n_rows"), least("_c", F.col("_mc")).alias("n_columns"), F.lit(TABLE_CONFIDENCE).alias("confidence"))
+    # Neither side is bounded: no broadcast, at any size.
+    return tables.hint("merge").join(size, ["doc", "tab"], "left").select("doc", "tab", "page", "x", "y", "w", "h", least("_r", F.col("_mr")).alias("n_rows"), least("_c", F.col("_mc")).alias("n_columns"), F.lit(TABLE_CONFIDENCE).alias("confidence"))
 
 
 def block_regions(dumps: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:

@@ -332,3 +332,11 @@ def test_revisions(spark, tmp_path):
     with pytest.raises(Exception):
         K.publish(spark, {"nodes": spark.range(3), "bad": spark.range(1).select(F.raise_error(F.lit("no")))}, root, 2)
     assert K.revision(spark, root) == 2 and K.published(spark, root, "nodes").count() == 2 and K.published(spark, root, "nodes", 1).count() == 1
+
+
+def test_sizes_of_tables_are_not_broadcast(spark, tmp_path):
+    from pagemill.sources import adapters
+
+    spark.createDataFrame([(1, '{"tables":[{"data":{"num_rows":2,"num_cols":1}}]}')], "doc_id long, json string").write.parquet(f"{tmp_path}/dumps")
+    df = spark.read.parquet(f"{tmp_path}/dumps")
+    assert "BroadcastHashJoin" not in adapters.docling_tables(df, 100.0)._jdf.queryExecution().executedPlan().toString()
