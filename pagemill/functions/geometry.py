@@ -42,11 +42,11 @@ def x_overlap(a: str, b: str) -> Column:
     return F.when(narrow > 0, F.greatest(F.least(ax + aw, bx + bw) - F.greatest(ax, bx), F.lit(0.0)) / narrow).otherwise(F.lit(0.0))
 
 
-def bounding(points: Column) -> Column:
-    """struct<x, y, w, h> around an array of {x, y}."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    left, top = F.array_min(xs), F.array_min(ys)
-    return F.struct(left.alias("x"), top.alias("y"), (F.array_max(xs) - left).alias("w"), (F.array_max(ys) - top).alias("h"))
+def bounding(*points: Column) -> Column:
+    """struct<x, y, w, h> around two or more {x, y}."""
+    xs, ys = [p["x"] for p in points], [p["y"] for p in points]
+    left, top = F.least(*xs), F.least(*ys)
+    return F.struct(left.alias("x"), top.alias("y"), (F.greatest(*xs) - left).alias("w"), (F.greatest(*ys) - top).alias("h"))
 
 
 def to_page(raw: Column, rotation: Column, width: Column, height: Column, back: bool = False) -> Column:
@@ -61,5 +61,5 @@ def to_page(raw: Column, rotation: Column, width: Column, height: Column, back:
     else:
         shift = quarter(zero, zero, across, up), quarter(up, zero, zero, across)
     place = lambda x, y: F.struct((x * m["a"] + y * m["c"] + shift[0]).alias("x"), (x * m["b"] + y * m["d"] + shift[1]).alias("y"))
-    right, bottom = raw["x"] + raw["w"], raw["y"] + raw["h"]
-    return bounding(F.array(*[place(x, y) for x in (raw["x"], right) for y in (raw["y"], bottom)]))
+    # Quarter turns leave opposite corners opposite, so these two bound the box.
+    return bounding(place(raw["x"], raw["y"]), place(raw["x"] + raw["w"], raw["y"] + raw["h"]))

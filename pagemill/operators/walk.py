@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,3 +50,39 @@ def walk(df: DataFrame, by: list[str], order: list[str], rule: Callable[[list[di
             yield made()
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def changes(rows: pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """Where a group of rows side by side begins."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for c in by:
+        codes = pc.fill_null(rows.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def whole(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a group ends, for rules over columns; one group that spans batches is held over."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def key(batch: pa.RecordBatch, i: int) -> list:
+        return [batch.column(c)[i].as_py() for c in by]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(np.flatnonzero(changes(batch, by))[-1])
+        if held and not last and key(held[-1], 0) == key(batch, 0):
+            held.append(batch)
+            continue
+        if last:
+            held.append(batch.slice(0, last))
+        if held:
+            yield joined()
+        held = [batch.slice(last)]
+    if held:
+        yield joined()

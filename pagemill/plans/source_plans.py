@@ -150,8 +150,8 @@ def fullest_page(spark, sf):
     return best.select("doc_id", (-F.col("b.p")).alias("fullest_page"), F.col("b.n").alias("n_spans"))
 
 
-def _pages(b, *more):
-    return b.select(F.lit("f0").alias("source"), "page", F.lit(560.0).alias("width"), F.lit(600.0).alias("height"), (F.col("page") % 4 * 90).alias("rotation"), *more).distinct()
+def _pages(b):
+    return b.select("page").distinct().select(F.lit("f0").alias("source"), "page", F.lit(560.0).alias("width"), F.lit(600.0).alias("height"), (F.col("page") % 4 * 90).alias("rotation"))
 
 
 @query(f"""WITH {D.BOXES}, kept AS (SELECT page, box_id, CASE WHEN label = 'FIGURE' THEN 'image' ELSE 'vector' END AS kind, x, y, w, h FROM d_boxes WHERE label <> 'TEXT' AND box_id % 20 <= 16 AND box_id % 7 <> 0 AND w > 0 AND h > 0),
@@ -175,11 +175,15 @@ def drawn_objects(spark, sf):
 @query()
 def physical_objects(spark, sf):
     """Rectangles of text side by side with characters at five points each and a wide gap after each eighth, and the boxes as drawn objects."""
-    r = M.df(spark, sf, "m_regions")
+    # Lines by page, as the boxes' numbers need them too: all that follows is where its page is.
+    r = M.df(spark, sf, "m_regions", lineitem=D.table(spark, sf, "lineitem").repartition("l_orderkey"))
     left = F.col("n") * 400 + F.col("part") % 9
     rects = r.select(F.lit("f0").alias("source"), "page", F.col("n").alias("rect"), left.cast("double").alias("left"), (F.col("part") % 5 * 3).cast("double").alias("bottom"), (left + 390).cast("double").alias("right"), (F.col("part") % 5 * 3 + 10).cast("double").alias("top"), "text")
-    chars = rects.select("source", "page", "rect", "left", F.posexplode(F.split("text", "")).alias("seq", "char")).withColumn("x", F.col("left") + F.col("seq") * 5 + F.expr("seq div 8") * 31).withColumn("w", F.lit(5.0))
+    each = lambda c: F.array_repeat(c, F.length("text"))
+    x = F.transform(each(F.col("left")), lambda c, i: c + i * 5 + F.floor(i / 8) * 31)
+    chars = rects.select("source", "page", "rect", F.lit(0).alias("seq"), F.col("text").alias("char"), x.alias("x"), each(F.lit(5.0)).alias("w"))
     b = D.boxes(spark, sf)
     objects = b.select(F.lit("f0").alias("source"), "page", F.col("box_id").alias("seq"), F.lit(1).alias("depth"), F.when(F.col("label") == "FIGURE", "image").otherwise("path").alias("type"), F.col("x").alias("left"), F.col("y").alias("bottom"), (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("top"))
-    pages = _pages(b.select("page").union(r.select("page")))
+    # Regions are on the same pages.
+    pages = _pages(b)
     return P.physical_objects(rects, chars, objects, pages)

@@ -49,10 +49,13 @@ def _depends(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", TABLES[name])
 
 
-def df(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def df(spark: SparkSession, sf: str, name: str, **given: DataFrame) -> DataFrame:
+    """A table; those given stand for tables of their name."""
+    if name in given:
+        return given[name]
     if name not in TABLES:
         return spark.read.parquet(f"{sf}/{name}.parquet")
-    return spark.sql(TABLES[name], **{d: df(spark, sf, d) for d in set(_depends(name))})
+    return spark.sql(TABLES[name], **{d: df(spark, sf, d, **given) for d in set(_depends(name))})
 
 
 def ctes(*names: str) -> str:

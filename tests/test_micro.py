@@ -321,6 +321,87 @@ def test_a_page_is_scanned(spark):
     assert len({r.object for r in got}) == 4
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_scans_are_as_the_rules_say(spark, batch):
+    """Characters in any order, one by one or in runs, over pages that span batches, against the rules for one rectangle and one page."""
+    import random
+
+    from pagemill.sources import scan
+
+    rng = random.Random(5)
+    signs = ["a", "b", "é", "中", "😀", " ", " ", "\t", "\u3000"]
+    rects, chars, runs, objects, pages, expected = [], [], [], [], [], set()
+    for source, page in ((s, p) for s in ("s", "t") for p in range(30)):
+        known = (source, page) != ("t", 3)
+        fragments, at, own = [], 0.0, []
+        for rect in range(rng.choice([0, 1, 6])):
+            bottom, font, blank = rng.choice([0.0, 0.0, 4.0, 40.0]), rng.choice([0.25, 10.0, 10.0, -2.0]), rng.random() < 0.15
+            rects.append((source, page, rect, at, bottom, at + 9, bottom + font, " \n" if blank else "x"))
+            cells, x = [], at
+            for seq in range(rng.choice([0, 1, 30])):
+                x += rng.choice([0.0, 1.0, 1.0, 3.0, 3.25, 8.0, 30.0, 30.25, -4.0, -40.0])
+                cells.append({"rect": rect, "seq": seq, "char": rng.choice(signs), "x": x, "w": rng.choice([1.0, 5.0, 50.0]), "font": font})
+            # What a rectangle lacks keeps its numbers, so that runs end there.
+            cells = [c for c in cells if rng.random() < 0.95]
+            chars += [(source, page, rect, c["seq"], c["char"], c["x"], c["w"]) for c in cells]
+            pieces = list(scan.S.split_cells(cells)) if cells and not blank else []
+            fragments += [{"page": page, "x": x, "y": bottom, "w": w, "h": font, "text": t, "font": font} for _, _, x, w, t in pieces]
+            if pieces:
+                at = pieces[-1][2] + pieces[-1][3] + rng.choice([0.5, 2.0, 6.0, 6.25, -1.0])
+        for seq in range(rng.choice([0, 1, 12])):
+            kind = rng.choice(["image", "path", "form"])
+            objects.append((source, page, seq, 1, kind, float(seq), 1.0, seq + 2.0, 3.0))
+            own += [("image" if kind == "image" else "vector", seq)] if kind != "form" else []
+        if known:
+            pages.append((source, page, 100.0, 200.0, 0))
+            lines = [("text", n, t, x, w, 200.0 - y - h, h, round(f, 2) or None) for _, n, x, y, w, h, t, f in (scan.S.merged_fragments(fragments) if fragments else ())]
+            for kind in ("image", "vector"):
+                lines += [(kind, n, None, float(seq), 2.0, 197.0, 2.0, None) for n, seq in enumerate(q for k, q in own if k == kind)]
+            # Boxes as shown have no negative height.
+            expected |= {(source, page, i + 1, *r[:5], min(r[5], r[5] + r[6]), abs(r[6]), r[7]) for i, r in enumerate(lines)}
+    for c in chars:
+        last = runs[-1] if runs else None
+        if last and last[:3] == c[:3] and c[3] == last[3] + len(last[4]) and rng.random() < 0.8:
+            runs[-1] = (*last[:4], last[4] + c[4], last[5] + [c[5]], last[6] + [c[6]])
+        else:
+            runs.append((*c[:5], [c[5]], [c[6]]))
+    rng.shuffle(runs)
+    single = list(chars)
+    half = len(single) // 2
+    tail = single[half:]
+    rng.shuffle(tail)
+    single[half:] = tail
+    make = spark.createDataFrame
+    key = "source string, page long, rect long"
+    pages = make(pages, "source string, page long, width double, height double, rotation int")
+    rects = make(rects, f"{key}, left double, bottom double, right double, top double, text string")
+    objects = make(objects, "source string, page long, seq long, depth int, type string, left double, bottom double, right double, top double")
+    forms = [make(single, f"{key}, seq int, char string, x double, w double"), make(runs, f"{key}, seq long, char string, x array<double>, w array<double>")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for form in forms:
+            got = scan.physical_objects(rects, form, objects, pages).collect()
+            assert {(r.source, r.page, r.position, r.kind, r.n, r.text, r.x, r.w, r.y, r.h, r.font) for r in got} == expected and len(got) == len(expected)
+            assert sum(r.kind == "text" and "  " not in r.text and " " in r.text for r in got) > 20
+            nothing = scan.physical_objects(rects, form.limit(0), objects.limit(0), pages)
+            assert nothing.count() == 0 and scan.physical_objects(rects, form, objects, pages.limit(0)).count() == 0
+            assert scan.text_spans(rects, form, pages).count() == sum(r.kind == "text" for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with pytest.raises(Exception, match="without a place"):
+        scan.physical_objects(rects, forms[0].withColumn("x", F.lit(None).cast("double")), objects, pages).collect()
+
+
+def test_characters_are_not_dealt_out(spark):
+    """Lines, boxes and pages are dealt out by page once; what is made of them, characters above all, never."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["physical_objects"](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert all("hashpartitioning(l_orderkey" in line or "hashpartitioning(page" in line for line in dealt) and len(dealt) == 4 and "Join" not in plan, dealt
+
+
 def test_revisions(spark, tmp_path):
     from pagemill.operators import workspace as K
 
