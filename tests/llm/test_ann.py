@@ -87,3 +87,42 @@ def test_visits_come_in_batches_of_bounded_size(monkeypatch):
     want = [(i, leaf) for i, q in enumerate(ann._unit(x)) for _, leaf in zip(range(visits), tree.visit(q))]
     assert [(g, leaf) for b in out for g, leaf in zip(b["gid"].to_pylist(), b["leaf"].to_pylist())] == want
     assert all(b["vector"].to_pylist() == [x[g].tolist() for g in b["gid"].to_pylist()] for b in out)
+
+
+def test_a_query_travels_once_to_a_bin(spark, monkeypatch):
+    """Not once to each leaf: most queries visit most leaves, and vectors took queries times leaves of disk."""
+    monkeypatch.setattr(ann, "LEAF", 20)
+    staged, stage = {}, ann.stage
+    monkeypatch.setattr(ann, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), 0) for i in range(3000)]
+    compare(spark, rows, 50, 0.9)
+    assert staged["visits"].count() == 60
+
+
+def test_blocks_give_the_nearest_of_the_leaves_that_visits_reach(monkeypatch):
+    import pyarrow as pa
+
+    for name, value in (("TILE_QUERIES", 7), ("TILE_VECTORS", 16)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:340] = x[0] * rng.integers(1, 4, (40, 1)).astype(np.float32)
+    tree, visits = ann.Tree(ann._unit(x), 3.0), 4
+    reached = tree.reached(ann._unit(x), visits)
+    for q, own in zip(ann._unit(x), reached, strict=True):
+        assert own[[leaf for _, leaf in zip(range(visits), tree.visit(q))]].all()
+    leaf, bins = tree.assign(ann._unit(x)), [np.flatnonzero(reached.any(0))]
+    queries = list(ann._reach(tree, visits, bins)(iter([pa.RecordBatch.from_pydict({"vector": list(x[:50]), "gid": list(range(50))})])))
+    at = {"leaf": -1, "bin": 0, "v": 0, "q": 0}
+    schema = pa.schema([*((k, pa.int64()) for k in at), ("kind", pa.int32()), ("cell", pa.int64()), ("cells", pa.binary()), ("gid", pa.int64()), ("ids", pa.list_(pa.int64())), ("vector", pa.list_(pa.float32()))])
+    members = [at | {"kind": 0, "cell": int(np.searchsorted(bins[0], leaf[i])), "gid": i, "ids": [i], "vector": x[i]} for i in range(900) if leaf[i] in bins[0]]
+    asked = [at | {"kind": 1, "cells": r["cells"], "gid": r["gid"], "vector": r["vector"]} for b in queries for r in b.to_pylist()]
+    got = {}
+    for b in ann._meet(iter([pa.RecordBatch.from_pylist(part, schema) for part in (members[:500], members[500:] + asked[:20], asked[20:])])):
+        for r in b.to_pylist():
+            got.setdefault(r["query"], []).append((-r["score"], r["vec_id"]))
+    d = x.astype(float)
+    for q in range(50):
+        score = (d * d[q]).sum(1) / (np.sqrt((d * d).sum(1)) * np.sqrt((d[q] * d[q]).sum()))
+        assert sorted(got[q]) == sorted((-score[i], i) for i in range(900) if reached[q, leaf[i]])[: ann.K + 1]
