@@ -236,3 +236,35 @@ def test_rows_without_an_id_take_no_links_away(spark):
     got = {(r.doc_id, r.component_id) for r in jaccard.link(docs).collect()}
     assert got == {(None, None), (5, 5), (8, 5)}
     assert sorted(r.doc_id or 0 for r in jaccard.keep_first(docs).collect()) == [0, 0, 5]
+
+
+def test_many_sets_ask_a_block_at_once(monkeypatch):
+    """One by one, calls took longer than what they computed; and what is asked is all that the bounds leave."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = []
+    for _ in range(300):
+        if x and rng.random() < 0.5:
+            own = x[rng.integers(len(x))]
+            x.append(np.unique(np.r_[own[rng.random(len(own)) > 0.05], rng.integers(0, 1 << 62, 2).astype(np.uint64)]))
+        else:
+            x.append(np.unique(rng.integers(0, 1 << 62, int(rng.integers(20, 300))).astype(np.uint64)))
+    n, gid = np.array([len(s) for s in x]), rng.permutation(900)[:300]
+    comp, role = np.where(rng.random(300) < 0.2, 7, gid), rng.choice([0, 1, 2], 300)
+    points, marks = jaccard.points_of([jaccard.point(s) for s in x]), [jaccard.parity(s) for s in x]
+    parities = jaccard.Parities(marks)
+
+    def possible(i, j):
+        both = n[i] + n[j]
+        if role[i] == 1 or role[j] == 0 or comp[i] == comp[j] or (n[j], gid[j]) >= (n[i], gid[i]) or 100 * n[j] < 80 * n[i]:
+            return False
+        return 180 * np.minimum(points[i], points[j]).sum() >= 80 * both and 180 * parities.differ(np.array([j]), np.array([i]))[0] <= 20 * both
+
+    want = {(gid[j], gid[i]) for i in range(300) for j in range(300) if possible(i, j)}
+    assert len({b for _, b in want}) > 20
+    for tile, parts in ((1 << 22, 1), (1 << 10, 300)):
+        monkeypatch.setattr(jaccard, "TILE", tile, raising=False)
+        got = list(jaccard.partners(gid, n, comp, role, points, marks, 0, 1 << 60, 80))
+        assert len(got) <= parts and not any(rest for _, _, rest in got)
+        assert {(a, b) for x, y, _ in got for a, b in zip(x, y, strict=True)} == want
